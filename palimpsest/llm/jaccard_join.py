@@ -10,10 +10,10 @@ order is cut into fragments, and so is each document's set:
    empty ones.  This loses no link; see ``fragment_keys``.
 2. *Classes.*  Equal sets (equal 64-bit sums of mixed hashes) are one node, so copies never meet.
 3. *Counting.*  Of a candidate pair, partial overlaps are counted fragment by fragment and summed per pair.
-4. *Hot fragments.*  All sets with a common fragment are first compared with one pivot only.  After
-   these links are made components, just the sets outside the pivot's component are compared
-   with the rest.  A large group of near copies so costs its size, not its square, and no pair between different
-   components goes unchecked.
+4. *Hot fragments.*  All sets with a common fragment are first compared with one pivot only.  Sets that
+   link with it are connected.  Of the others, those meet that differ from the pivot in the same rare
+   n-grams (``_second_pairs``, with the proof that this suffices).  A large group of near copies so costs its size,
+   not its square, and every link that could connect two components is checked.
 
 Sizes of what is held: no list of documents or pairs is ever gathered in a task or at the driver;
 the driver sees bit filters of 8 MB.  Node numbers have 64 bits: among 10^9 different sets the
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
@@ -155,78 +156,93 @@ def _fragments(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return due.dropDuplicates(["node", "fragment"]).select("node", "fragment", "grams")
 
 
-def _links(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those within the threshold: partial overlaps by fragment, summed per pair."""
+def _facing(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) by fragment, with the grams of both in ``ga`` and ``gb``."""
     left = fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
     cut = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(COUNT_FRAGMENTS)])))
-    partial = (
-        cut.join(left, ["a", "fragment"])
-        .join(right, ["b", "fragment"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    return cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+
+
+def _overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, na, nb) with ``both``, the partial overlaps of all fragments summed, and ``linked``."""
+    partial = _facing(pairs, fragments).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    out = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    return out.withColumn("linked", F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
+
+
+def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of sets that met the same pivot and may link while the pivot links not both.
+
+    Let ``D`` be what a set and the pivot do not share.  Two sets differ in ``|Dx| + |Dy| - 2 |Dx & Dy|``
+    n-grams.  If they are within the threshold with ``Dx`` and ``Dy`` disjoint, both link with the pivot: from
+    ``|Dx| + |Dy| <= r (|x| + |y|)`` and ``|x| <= |p| + |Dx|`` follows ``|Dy| <= r (|p| + |y|)``.  Else they share some of
+    ``D``, at least ``max(1, |Dx| - K)``; so the first they share, rarest first, is among the ``K + 1`` first of either
+    (prefix), and enough must stand behind it (position).
+    """
+    active = star.groupBy("a").agg(F.count("*").alias("members"), F.bool_and("linked").alias("all")).filter("members > 1 and not all").select("a")
+    members = star.join(active, "a").withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("both"))
+    unlike = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+    spread = _facing(members, fragments).select("a", "b", "nb", "d", "linked", F.explode(unlike).alias("gram"))
+    spread = checkpoint(spread)
+    common = spread.groupBy("a", "gram").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = spread.join(common, ["a", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = W.partitionBy("a", "b").orderBy("df", "gram")
+    most = F.expr(f"(nb + nb * 100 div {percent}) * {100 - percent} div {100 + percent}")
+    first = ranked.withColumn("i", F.row_number().over(order)).filter((F.col("i") <= most + 1) & (F.col("df") > 1))
+    first = checkpoint(first.select("a", "gram", "b", "nb", "d", "linked", "i"))
+    other = first.select("a", "gram", *[F.col(c).alias(f"{c}_") for c in ("b", "nb", "d", "linked", "i")])
+    total = F.col("nb") + F.col("nb_")
+    left = F.col("d") + F.col("d_") - 2 * (1 + F.least(F.col("d") - F.col("i"), F.col("d_") - F.col("i_")))
+    due = (
+        (F.col("b") < F.col("b_"))
+        & ~(F.col("linked") & F.col("linked_"))
+        & (F.least("nb", "nb_") * 100 >= F.greatest("nb", "nb_") * percent)
+        & (left * (100 + percent) <= total * (100 - percent))
     )
-    both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return both.filter(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    both = (F.col("a") == F.col("a_")) & (F.col("gram") == F.col("gram_"))
+    met = first.join(other.withColumnsRenamed({"a": "a_", "gram": "gram_"}), both & due)
+    return met.select(F.col("b").alias("a"), F.col("b_").alias("b"), F.col("nb").alias("na"), F.col("nb_").alias("nb")).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id and node of every row of ``docs`` (doc_id, text).
 
     ``size`` words make an n-gram; documents link when ``100 * intersection >= percent * union``.
     ``component_id`` is the smallest doc_id reachable, the row's own included; ``node`` numbers its set.
-    ``n_links`` counts the other rows of the set and the links with other sets that had to be checked.
 
     Null texts and texts without words have the empty set and link with nothing.  Null ids are
     ordered after all others and stay null when a component has no other.  Repeated rows link with each other.
     Extra columns are ignored.  An empty table gives an empty result.
     """
     sketched = checkpoint(sketches(docs, size, percent))
-    classes = sketched.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    classes = sketched.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
 
     spread = sketched.select(F.explode("keys").alias("key"), "node")
-    pivots = spread.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).filter("pivot < other")
-    pivots = checkpoint(pivots.select("key", "pivot"))
-    hits = _matching(sketched, bit_filter(pivots, "key")).distinct()
-    hits = checkpoint(hits.join(pivots, "key"))
+    common = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    common = checkpoint(common)
+    hits = _matching(sketched, bit_filter(common, "key")).join(common, "key", "left_semi").distinct()
+    weights = hits.groupBy("node").agg(F.count("*").alias("weight"))
+    hits = checkpoint(hits.join(weights, "node"))
 
     reps = hits.select("node").distinct().join(classes, "node").select("node", "doc_id")
     fragments = checkpoint(_fragments(docs, checkpoint(reps), size))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        return pairs.filter(small * 100 >= large * percent).distinct()
-
-    sizes = hits.select(F.col("node").alias("pivot"), F.col("n").alias("na")).distinct()
-    star = hits.filter("node <> pivot").select("pivot", "node", "n").distinct().join(sizes, "pivot")
-    star = near(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "na", F.col("n").alias("nb")))
-    links = checkpoint(_links(star, fragments, percent))
-
-    found = checkpoint(connected_components(links))
-    own = hits.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mid = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-    own = own.join(mid, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    outer = own.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    rest = outer.join(own.select("key", "node", "n", "component"), "key").filter("cx <> component")
-    rest = rest.filter((F.least("nx", "n") * 100 >= F.greatest("nx", "n") * percent))
-    swap = F.col("x") < F.col("node")
-    rest = rest.select(
-        F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"),
-        F.when(swap, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(F.col("nx")).alias("nb"),
-    ).distinct()
-    rest = rest.join(star.select("a", "b"), ["a", "b"], "left_anti")
-    links = checkpoint(links.union(_links(rest, fragments, percent)).distinct())
+    # the set that shares most fragments with others stands nearest to the middle of its group
+    pivots = hits.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    star = hits.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct()
+    star = checkpoint(_overlaps(star, fragments, percent))
+    second = _overlaps(_second_pairs(star, fragments, percent), fragments, percent)
+    links = star.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b"))
     found = connected_components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     nodes = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    nodes = nodes.join(least, "component").join(degree, "node", "left")
-    nodes = nodes.select("node", "component_id", (F.coalesce("degree", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
+    nodes = nodes.join(least, "component").select("node", "component_id")
     out = sketched.select("doc_id", "n", "node").join(nodes, "node", "left")
     empty = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
         F.when(~empty, F.col("node")).alias("node"),
     )
