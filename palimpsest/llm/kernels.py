@@ -80,21 +80,99 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(size: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, for buffers of ``size`` bytes."""
+    if len(_powers[0]) < size:
+        for k, base in enumerate((_ODD, _INVERSE)):
+            table = np.full(max(size, 1 << 16), base, np.uint64)
+            table[0] = 1
+            _powers[k] = np.cumprod(table)
+    return _powers
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span: a polynomial over random byte values, then mixed with the length."""
+    """A 64-bit hash of each byte span: a polynomial over random byte values, then mixed with the length.
+
+    The buffer is multiplied by the running power once; each sum is shifted back by the inverse power of its start.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    longest = int((ends - starts).max())
     with np.errstate(over="ignore"):
-        powers = np.full(longest, _ODD, np.uint64)
-        powers[0] = 1
-        powers = np.cumprod(powers)
-        lengths = ends - starts
-        heads = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-        at = place + np.repeat(starts, lengths)
-        total = np.add.reduceat(_BYTE[data[at]] * powers[place], heads)
-        return mix(total ^ (lengths.astype(np.uint64) << np.uint64(48)), 3)
+        power, inverse = _power_tables(len(data) + 1)
+        terms = np.zeros(len(data) + 1, np.uint64)
+        np.multiply(_BYTE[data], power[: len(data)], out=terms[:-1])
+        cuts = np.empty(2 * len(starts), np.int64)
+        cuts[::2], cuts[1::2] = starts, ends
+        total = np.add.reduceat(terms, cuts)[::2] * inverse[starts]
+        return mix(total ^ ((ends - starts).astype(np.uint64) << np.uint64(48)), 3)
+
+
+def factorize(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code of each hash, the distinct hashes and where each occurs first."""
+    import pandas as pd
+
+    codes, distinct = pd.factorize(hashes)
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(codes), prepend=-1) > 0) if len(codes) else codes
+    return codes, distinct, first
+
+
+class Memo:
+    """Remembers an array of numbers for each 64-bit key: sorted keys over one pool, at most ``limit`` keys."""
+
+    def __init__(self, limit: int, dtype: type = np.uint32) -> None:
+        self.limit, self.dtype = limit, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.dtype)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, and which of them are known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def add(self, keys: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+        """Adds new keys; ``values`` holds their arrays in a row.  Forgets the old ones when there is no room."""
+        if len(self.keys) + len(keys) > self.limit:
+            self.clear()
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        begin = np.cumsum(size) - size + len(self.pool)
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.size = np.insert(self.size, at, size[order])
+        self.pool = np.concatenate((self.pool, values.astype(self.dtype)))
+
+
+def gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``pool[begin : begin + size]`` in a row."""
+    place = np.cumsum(size) - size
+    return pool[np.repeat(begin - place, size) + np.arange(int(size.sum()))]
+
+
+def coded(memo: Memo, keys: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pool, begin, size) for distinct ``keys``; ``encode`` gives (values in a row, sizes) for the places not remembered."""
+    at, known = memo.find(keys)
+    new = np.flatnonzero(~known)
+    if len(new):
+        values, size = encode(new)
+        memo.add(keys[new], size, values)
+        at, known = memo.find(keys)
+        if not known.all():  # the memo was emptied: what it knew before must be made again
+            rest = np.flatnonzero(~known)
+            values, size = encode(rest)
+            memo.add(keys[rest], size, values)
+            at, known = memo.find(keys)
+            if not known.all():
+                raise ValueError("a slice has more distinct words than the memo may hold")
+    return memo.pool, memo.begin[at], memo.size[at]
 
 
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -6,8 +6,11 @@ free space that still takes a piece; when none does and all bins are open, the f
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ OPEN_BINS = 1024
 #: Sequences that one packing task makes, about; tasks grow in number with the input.
 TASK_SEQUENCES = 16384
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000
 
 
 class BestFit:
@@ -63,51 +66,55 @@ class BestFit:
 class WordTokenizer:
     """Token ids of whole texts, word by word: the tokenizer never joins what ASCII white space parts.
 
-    Each distinct word of a slice is encoded once; common ones are remembered.
+    Each distinct word is encoded once; a worker remembers up to ``CACHE_WORDS`` of them.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.memo = K.Memo(CACHE_WORDS)
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        values, sizes = [], []
+        for at in range(0, len(words), 4096):  # encodings are large objects
+            lists = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            values.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(values), np.concatenate(sizes)
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice in a row, and where each text's ids begin (one more than texts)."""
         starts, ends, doc = K.words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes, first, back = np.unique(K.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        codes, distinct, first = K.factorize(K.span_hashes(data, starts, ends))
         raw = data.tobytes()
-        lists = [self.known.get(h) for h in hashes.tolist()]
-        new = [k for k, ids in enumerate(lists) if ids is None]
-        at = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-        coded = self.tokenizer.encode_batch([raw[a:b].decode("utf-8") for a, b in at], add_special_tokens=False)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-        keep = len(self.known) < CACHE_WORDS
-        count = np.bincount(back)
-        for k, one in zip(new, coded):
-            lists[k] = np.array(one.ids, np.uint32)
-            if keep and (count[k] > 1 or len(new) < CACHE_WORDS // 4):
-                self.known[int(hashes[k])] = lists[k]
-        size = np.array([len(x) for x in lists])
-        table, begin = np.concatenate(lists), np.cumsum(size) - size
-        each = size[back]
-        place = np.cumsum(each) - each
-        out = table[np.repeat(begin[back] - place, each) + np.arange(int(each.sum()))]
+
+        def encode(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            return self._encode([raw[a:b].decode("utf-8") for a, b in at])
+
+        if len(distinct) > self.memo.limit:  # one huge text
+            self.memo = K.Memo(2 * len(distinct))
+        pool, begin, size = K.coded(self.memo, distinct, encode)
+        each = size[codes]
         by_doc = np.bincount(doc, weights=each, minlength=len(offsets) - 1).astype(np.int64)
-        return out, np.concatenate(([0], np.cumsum(by_doc)))
+        return K.gather(pool, begin[codes], each), np.concatenate(([0], np.cumsum(by_doc)))
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The worker's tokenizer, made once and kept from task to task."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's ids followed by ``separator``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = WordTokenizer(tokenizer)
+        coder = word_tokenizer(tokenizer)
         for batch in K.slices(batches):
             ids, place = coder.ids(*K.buffers(batch.column(1)))
             rows, piece, start, length, crc = [], [], [], [], []
