@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.license_scan import PHRASES, TEMPLATES, template_words
 from palimpsest.llm.quality_rules import RULES, STOP_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -12,6 +13,31 @@ def _fail(base: bool) -> str:
     return " OR ".join(r.sql() for r in RULES if r.base or not base)
 
 
+def _templates() -> str:
+    rows = ", ".join(f"({k}, '{label}', {template_words(text)})" for k, (label, text) in enumerate(TEMPLATES))
+    return f"t(k, label, own) AS (VALUES {rows})"
+
+
+_PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
+_LICENSE_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS u, doc_id, {_LOWER} AS low, {_LICENSE_WORDS.format(_LOWER)} AS w FROM documents),
+p(phrase, size, label) AS (VALUES {_PHRASES}),
+i AS (SELECT u, w, unnest(range(0, len(w))) AS i FROM d),
+h AS (SELECT u, i, label FROM i JOIN p ON array_to_string(list_slice(w, i + 1, i + size), ' ') = phrase AND i + size <= len(w)),
+b AS (SELECT u, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS l FROM h GROUP BY u),
+{_templates()},
+n AS (SELECT u, list_distinct({_LICENSE_WORDS.format("line")}) AS w FROM (SELECT u, unnest(string_split(low, chr(10))) AS line FROM d)),
+m AS (SELECT u, label, len(list_intersect(n.w, t.own)) AS shared, len(t.own) AS size FROM n, t),
+f AS (SELECT u, list(DISTINCT label) AS l, max(shared / size) AS share FROM m WHERE shared >= greatest(1, (size * 80 + 99) // 100) GROUP BY u)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
+    coalesce(array_to_string(list_sort(b.l), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(f.l, [])))), ','), '') AS labels,
+    CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN b USING (u) LEFT JOIN f USING (u)
+"""
+
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 OP3 = rf"""
@@ -52,4 +78,4 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
-ORACLES = {"op3_quality_rules": OP3, "op5_ngram_jaccard_join": OP5, "op8_exact_dedup": OP8}
+ORACLES = {"op1_license_scan": OP1, "op3_quality_rules": OP3, "op5_ngram_jaccard_join": OP5, "op8_exact_dedup": OP8}

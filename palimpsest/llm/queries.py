@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, jaccard_join, packing, quality_rules
+from palimpsest.llm import exact_dedup, jaccard_join, language_id, license_scan, packing, quality_model, quality_rules
+from palimpsest.llm.shared import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.train(docs.filter(~held_out).select("text", "lang"))
+    return language_id.predict(docs, model, {"doc_id": docs["doc_id"], "held_out": held_out})
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "quality AS label")
+    held_out = crc_mod("doc_id", 4) == 2
+    return quality_model.classify(docs, labels, ~held_out, {"doc_id": docs["doc_id"], "held_out": held_out})
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 3, 90).select("doc_id", "n_shingles", "component_id")
 
@@ -36,7 +55,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
