@@ -246,3 +246,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(~empty, F.col("node")).alias("node"),
     )
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
+
+    The rows that go are taken out by id.  Rows without words stay, and so do rows without an id unless their component has one with an id.
+    """
+    told = jaccard_components(docs, size, percent)
+    gone = told.filter("n_shingles > 0 AND component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    gone = checkpoint(gone)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
