@@ -1,4 +1,518 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over the driver's tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The canonical mutation log comes from ``events``: the user is the key, the event number the sequence, an error a deletion.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions import keys
+from palimpsest.operators import compact, inspect, manifest, metrics, relations, replog, resolve, schema, write
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+LOG = """log AS (SELECT user_id AS k, event_id + 1 AS seq, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op,
+    CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM events)"""
+#: Files of a made-up manifest: runs of orders, several to a level.
+FILES = """mf AS (SELECT file_number, CASE WHEN file_number < 6 THEN 0 ELSE file_number % 3 + 1 END AS level, n * 40000000 AS file_size, lo, hi
+    FROM (SELECT o_orderkey // 1000 AS file_number, count(*) AS n, min(o_orderkey) - 40 AS lo, max(o_orderkey) + 40 AS hi FROM orders GROUP BY 1) x)"""
+RLOG = """rl AS (SELECT conv_id AS log_id, turn AS idx, turn // 4 AS term, length(text) AS length, text FROM conversations)"""
+OLDEST = 5000
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query under its function's name with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def log_of(spark: SparkSession, d: str) -> DataFrame:
+    error = F.col("event_type") == "error"
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("k"), (F.col("event_id") + 1).alias("seq"),
+        F.when(error, 2).otherwise(1).alias("op"), F.when(~error, F.col("value")).alias("v"),
+    )
+
+
+def files_of(spark: SparkSession, d: str) -> DataFrame:
+    by = table(spark, d, "orders").groupBy(F.expr("o_orderkey div 1000").alias("file_number"))
+    f = by.agg(F.count("*").alias("n"), (F.min("o_orderkey") - 40).alias("lo"), (F.max("o_orderkey") + 40).alias("hi"))
+    level = F.when(F.col("file_number") < 6, 0).otherwise(F.col("file_number") % 3 + 1).cast("int")
+    return f.select("file_number", level.alias("level"), (F.col("n") * 40000000).alias("file_size"), "lo", "hi")
+
+
+def rlog_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("log_id"), F.col("turn").alias("idx"), F.expr("turn div 4").alias("term"), F.length("text").cast("long").alias("length"), "text"
+    )
+
+
+_NEWEST = "(SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log{}) x WHERE rn = 1"
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format('')} AND op = 1")
+def kv_latest_state(spark, d):
+    return resolve.as_of(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format('')} AND op = 1")
+def kv_latest_state_window(spark, d):
+    return resolve.newest_by_window(log_of(spark, d)).filter("op = 1")
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE k = 42')} AND op = 1")
+def kv_get_point(spark, d):
+    return resolve.get(log_of(spark, d), 42)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM log WHERE k = -1")
+def kv_get_missing(spark, d):
+    return resolve.get(log_of(spark, d), -1)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE k = 42 AND seq <= 5000')} AND op = 1")
+def kv_get_as_of(spark, d):
+    return resolve.get(log_of(spark, d), 42, OLDEST)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE seq <= 5000')} AND op = 1")
+def kv_snapshot_scan(spark, d):
+    return resolve.scan_all(log_of(spark, d), OLDEST)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v, row_number() OVER (ORDER BY k) AS place FROM {_NEWEST.format(' WHERE k >= 20 AND k < 60')} AND op = 1")
+def kv_scan_range(spark, d):
+    from pyspark.sql import Window
+
+    return resolve.scan(log_of(spark, d), 20, 60).withColumn("place", F.row_number().over(Window.orderBy("k")).cast("long"))
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE k >= 20 AND k < 60 AND seq <= 5000')} AND op = 1")
+def kv_scan_range_as_of(spark, d):
+    return resolve.scan(log_of(spark, d), 20, 60, OLDEST)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM log WHERE k >= 20 AND k < 20")
+def kv_scan_empty_range(spark, d):
+    return resolve.scan(log_of(spark, d), 20, 20)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM log")
+def kv_all_versions(spark, d):
+    return resolve.all_versions(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT DISTINCT k FROM log")
+def kv_distinct_keys(spark, d):
+    return resolve.distinct_keys(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT k FROM {_NEWEST.format('')} AND op = 1")
+def kv_live_keys(spark, d):
+    return resolve.as_of(log_of(spark, d)).select("k")
+
+
+@query(f"WITH {LOG} SELECT k, seq FROM {_NEWEST.format('')} AND op = 2")
+def kv_tombstoned_keys(spark, d):
+    return resolve.tombstoned(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT k, count(*) AS versions FROM log GROUP BY k")
+def kv_retained_versions(spark, d):
+    return resolve.retained_versions(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT max(seq) AS last_seq FROM log")
+def kv_high_water(spark, d):
+    return resolve.high_water(log_of(spark, d))
+
+
+@query(f"WITH {LOG} SELECT min(seq) AS oldest, max(seq) AS newest, count(*) AS active FROM log")
+def kv_snapshot_registry(spark, d):
+    return resolve.snapshot_registry(log_of(spark, d).select("seq"))
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE seq <= 7000 AND k >= 30')} AND op = 1")
+def kv_collapse(spark, d):
+    return resolve.collapse(log_of(spark, d), 7000, start=30)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format('')} AND op = 1")
+def kv_union_resolve(spark, d):
+    log = log_of(spark, d)
+    return resolve.as_of(resolve.union(log.filter("seq <= 6000"), log.filter("seq > 4000")))
+
+
+@query(f"WITH {LOG}, b AS (SELECT * FROM log WHERE seq <= 6000 UNION ALL SELECT * FROM log WHERE seq > 4000) SELECT k, seq, op::INT AS op, count(*) AS copies, 1::BIGINT AS different_values FROM b GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def kv_merge_duplicates(spark, d):
+    log = log_of(spark, d)
+    return resolve.duplicate_versions(resolve.union(log.filter("seq <= 6000"), log.filter("seq > 4000")))
+
+
+def _batches(spark, d):
+    return log_of(spark, d).withColumns({"batch_id": F.expr("(seq - 1) div 100"), "ordinal": F.expr("(seq - 1) % 100")})
+
+
+@query(f"WITH {LOG} SELECT batch_id, k, ordinal, seq, op, v FROM (SELECT (seq - 1) // 100 AS batch_id, (seq - 1) % 100 AS ordinal, *, row_number() OVER (PARTITION BY (seq - 1) // 100, k ORDER BY seq DESC) AS rn FROM log) x WHERE rn = 1")
+def kv_batch_apply(spark, d):
+    return write.last_per_batch(_batches(spark, d))
+
+
+@query(f"WITH {LOG} SELECT (seq - 1) // 100 AS batch_id, (seq - 1) % 100 AS ordinal, k, seq + 1000 AS seq FROM log")
+def kv_batch_sequences(spark, d):
+    return write.assign_sequences(_batches(spark, d).drop("seq"), 1000).select("batch_id", "ordinal", "k", "seq")
+
+
+@query("SELECT doc_id // 100 AS batch_id, count(*) AS operations, sum(octet_length(encode(cast(doc_id AS VARCHAR))) + coalesce(octet_length(encode(text)), 0) + 12)::BIGINT + 24 AS encoded_bytes, 'OK' AS status FROM documents GROUP BY 1")
+def kv_batch_limits(spark, d):
+    ops = table(spark, d, "documents").select(F.expr("doc_id div 100").alias("batch_id"), F.col("doc_id").cast("string").alias("k"), F.col("text").alias("v"))
+    return write.batch_report(ops)
+
+
+@query(f"WITH {LOG} SELECT (seq - 1) // 100 AS batch_id, count(*) AS operations, min(seq) AS first_seq, max(seq) AS last_seq, 'APPLIED' AS status FROM log GROUP BY 1")
+def kv_batch_result(spark, d):
+    return write.batch_result(_batches(spark, d), typed=True)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format('')} AND op = 1")
+def kv_wal_replay(spark, d):
+    log = log_of(spark, d)
+    return resolve.as_of(write.replay(log.filter("seq <= 6000"), log.filter("seq > 3000"), 6000))
+
+
+@query(f"WITH {LOG}, s AS (SELECT seq + seq // 97 AS seq, lag(seq + seq // 97) OVER (ORDER BY seq) AS p FROM log) SELECT p AS after_seq, seq AS next_seq FROM s WHERE seq <> p + 1")
+def kv_sequence_gaps(spark, d):
+    return write.sequence_gaps(log_of(spark, d).select(F.expr("seq + seq div 97").alias("seq")), 1000)
+
+
+@query("SELECT event_id // 100 AS batch_id, count(*)::BIGINT AS operations, true AS contiguous, true AS size_ok FROM events GROUP BY 1")
+def kv_sequence_plan(spark, d):
+    b = _batches(spark, d).groupBy("batch_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return write.plan_check(b)
+
+
+_BOUNDARY = f"{LOG}, m AS (SELECT *, max(CASE WHEN seq <= 5000 THEN seq END) OVER (PARTITION BY k) AS b FROM log), r AS (SELECT *, seq > 5000 OR coalesce(seq = b AND op <> 2, false) AS kept FROM m)"
+
+
+@query(f"WITH {_BOUNDARY} SELECT k, seq, op, v FROM r WHERE kept")
+def gc_retain(spark, d):
+    return compact.retain(log_of(spark, d), OLDEST)
+
+
+@query(f"WITH {_BOUNDARY} SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE NOT kept AND op = 2) AS dropped_tombstones FROM r")
+def gc_drop_counts(spark, d):
+    return compact.drop_counts(log_of(spark, d), OLDEST)
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, min(v) AS v, false AS conflict FROM log GROUP BY 1, 2, 3")
+def gc_dedup(spark, d):
+    log = log_of(spark, d)
+    return compact.dedup(log.union(log))
+
+
+@query(f"WITH {FILES}, c AS (SELECT o_orderkey AS k FROM orders) SELECT k, NOT EXISTS (SELECT 1 FROM mf WHERE level > 1 AND k BETWEEN lo AND hi) AS base FROM c")
+def gc_base_level(spark, d):
+    return compact.base_level(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), files_of(spark, d), 1)
+
+
+@query(f"""WITH RECURSIVE {LOG}, e AS (SELECT k, seq, op, k // 10 AS part, 48 AS n, row_number() OVER (PARTITION BY k // 10 ORDER BY k, seq DESC) AS i FROM log),
+w AS (SELECT part, i, k, seq, op, n AS used, 0 AS file FROM e WHERE i = 1 UNION ALL SELECT e.part, e.i, e.k, e.seq, e.op,
+    CASE WHEN w.used + e.n > 4096 AND e.k <> w.k THEN e.n ELSE w.used + e.n END, CASE WHEN w.used + e.n > 4096 AND e.k <> w.k THEN w.file + 1 ELSE w.file END FROM w JOIN e ON e.part = w.part AND e.i = w.i + 1)
+SELECT part, file, count(*) AS entries, min(k) AS lo, max(k) AS hi FROM w GROUP BY 1, 2""")
+def gc_output_files(spark, d):
+    cut = compact.cut_outputs(log_of(spark, d), 4096, F.lit(16), F.expr("k div 10"))
+    return cut.groupBy("part", "file").agg(F.count("*").alias("entries"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+
+
+@query(f"WITH {FILES} SELECT a.level, a.file_number, b.file_number AS other_file FROM mf a JOIN mf b ON a.level = b.level AND a.file_number < b.file_number AND a.lo <= b.hi AND b.lo <= a.hi")
+def lvl_overlap(spark, d):
+    return compact.overlap_pairs(files_of(spark, d))
+
+
+_LEVELS = f"""{FILES}, g AS (SELECT l.level, count(mf.level) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes FROM (SELECT unnest(range(0, 7))::INT AS level) l LEFT JOIN mf ON mf.level = l.level GROUP BY 1),
+t AS (SELECT *, CASE WHEN level > 0 THEN 536870912 * 10 ** (level - 1) END AS target FROM g),
+sc AS (SELECT level, files, bytes, CASE WHEN level = 0 THEN files / 4.0 ELSE bytes / target END AS score FROM t WHERE level <= 5)"""
+
+
+@query(f"WITH {_LEVELS} SELECT level, files, bytes, score::DOUBLE AS score FROM sc")
+def lvl_scores(spark, d):
+    return compact.scores(files_of(spark, d))
+
+
+@query(f"WITH {_LEVELS} SELECT sum(greatest(0, bytes - target))::BIGINT AS debt_bytes FROM t WHERE level BETWEEN 1 AND 5")
+def lvl_debt_engine(spark, d):
+    return compact.debt(files_of(spark, d), with_level_0=False)
+
+
+@query(f"WITH {_LEVELS} SELECT sum(CASE WHEN level = 0 THEN greatest(0, files - 4) * (bytes // greatest(files, 1)) ELSE greatest(0, bytes - target) END)::BIGINT AS debt_bytes FROM t WHERE level <= 5")
+def lvl_debt_library(spark, d):
+    return compact.debt(files_of(spark, d), with_level_0=True)
+
+
+@query(f"WITH {_LEVELS} SELECT level, score::DOUBLE AS score, 'SCORE' AS reason FROM sc WHERE score >= 1 ORDER BY score DESC, level LIMIT 1")
+def lvl_pick(spark, d):
+    return compact.pick_level(files_of(spark, d))
+
+
+@query(f"WITH {_LEVELS} SELECT level FROM t WHERE (level = 0 AND files >= 4) OR (level BETWEEN 1 AND 5 AND bytes > target) ORDER BY level LIMIT 1")
+def lvl_trigger(spark, d):
+    return compact.trigger(files_of(spark, d))
+
+
+@query(f"WITH {FILES}, p AS (SELECT *, lag(hi) OVER (PARTITION BY level ORDER BY lo, file_number) AS before_hi FROM mf WHERE level >= 1) SELECT level, file_number, lo, before_hi FROM p WHERE before_hi >= lo")
+def lvl_invariant(spark, d):
+    return compact.invariant_violations(files_of(spark, d))
+
+
+@query(f"WITH {FILES} SELECT file_number, level, file_size, lo, hi FROM mf WHERE file_number % 4 <> 0")
+def mf_live_files(spark, d):
+    f = files_of(spark, d)
+    adds = f.withColumns({"edit_number": F.lit(1), "action": F.lit("ADD")})
+    gone = f.filter("file_number % 4 = 0").withColumns({"edit_number": F.lit(2), "action": F.lit("DELETE")})
+    return manifest.live_files(adds.unionByName(gone))
+
+
+@query(f"WITH {FILES} SELECT file_number, file_size, CASE WHEN file_number % 5 = 0 THEN 'MISSING' WHEN file_number % 5 = 1 THEN 'SIZE_MISMATCH' ELSE 'OK' END AS status FROM mf")
+def mf_verify_inventory(spark, d):
+    f = files_of(spark, d)
+    have = f.filter("file_number % 5 <> 0").select("file_number", F.expr("file_size + int(file_number % 5 = 1)").alias("size"))
+    return manifest.verify_inventory(f, have)
+
+
+@query(f"WITH {LOG}, l AS (SELECT k, seq, v FROM {_NEWEST.format(' WHERE seq <= 5000')} AND op = 1) SELECT k, seq, v, c_name, c_mktsegment FROM l JOIN customer ON c_custkey = k")
+def typed_multi_collection_as_of(spark, d):
+    live = resolve.consistent({"events": log_of(spark, d)}, OLDEST)["events"]
+    customer = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return live.join(customer, live["k"] == customer["c_custkey"]).select("k", "seq", "v", "c_name", "c_mktsegment")
+
+
+_FIELDS = "field_id int, name string, type string, byte_bound int, optional boolean, max_entries int, detail string"
+_OLD = [(16, "name", "string", 100, False, 10, None), (17, "age", "int", 0, True, 10, None), (18, "tags", "set", 50, True, 10, None), (19, "state", "enum", 0, False, 10, "A"), (20, "note", "string", 50, True, 10, None), (21, "gone", "long", 0, True, 10, None)]
+_NEW = [(16, "title", "string", 90, False, 10, None), (17, "age", "long", 0, True, 10, None), (18, "tags", "set", 50, True, 5, None), (19, "state", "enum", 0, False, 10, "B"), (20, "note", "string", 50, False, 10, None), (22, "more", "int", 0, False, 10, None), (23, "extra", "int", 0, True, 10, None)]
+
+
+@query("SELECT * FROM (VALUES (16, 'BOUND_TIGHTENED'), (17, 'TYPE_CHANGED'), (18, 'ENTRIES_TIGHTENED'), (19, 'IDENTITY_CHANGED'), (20, 'BECAME_REQUIRED'), (21, 'REMOVED'), (22, 'NEW_REQUIRED')) t(field_id, problem)")
+def sch_compat_report(spark, d):
+    return schema.compatibility(spark.createDataFrame(_OLD, _FIELDS), spark.createDataFrame(_NEW, _FIELDS))
+
+
+@query("SELECT c_custkey AS id, c_name AS display_name, NULL::TIMESTAMP AS updated_at FROM customer")
+def sch_evolve_read(spark, d):
+    from pyspark.sql import types as T
+
+    stored = T.StructType([schema.field(16, "c_custkey", T.LongType()), schema.field(17, "c_name", T.StringType())])
+    wanted = T.StructType([schema.field(16, "id", T.LongType()), schema.field(17, "display_name", T.StringType()), schema.field(18, "updated_at", T.TimestampNTZType(), optional=True)])
+    return schema.read_as(table(spark, d, "customer"), stored, wanted)
+
+
+@query("SELECT l_returnflag AS collection, max(l_linenumber) AS minimum_writer_version FROM lineitem GROUP BY 1")
+def sch_minimum_writer(spark, d):
+    return schema.minimum_writer(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("collection"), F.col("l_linenumber").alias("schema_version")))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_custkey = 42")
+def rel_filter_sort(spark, d):
+    return relations.where_sorted(table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), "o_custkey", 42, "o_orderdate").drop("o_custkey")
+
+
+@query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def rel_lookup_join(spark, d):
+    return relations.lookup(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey").select("o_orderkey", "c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def rel_semi_feed(spark, d):
+    followed = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return relations.feed(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", followed, "c_custkey", "o_orderdate")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT')")
+def rel_orphans(spark, d):
+    parents = table(spark, d, "orders").filter("o_orderpriority <> '1-URGENT'").select("o_orderkey")
+    return relations.dangling(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", parents, "o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def rel_duplicates(spark, d):
+    return relations.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def rel_delete_guard(spark, d):
+    return relations.deletable(table(spark, d, "customer").select("c_custkey"), "c_custkey", (table(spark, d, "orders"), "o_custkey"))
+
+
+@query("SELECT c_custkey, (c_custkey % 12) AS stored, coalesce(n, 0) AS actual FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_custkey % 12 <> coalesce(n, 0)")
+def rel_counter_check(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 12).alias("stored"))
+    return relations.counter_mismatches(rows, "c_custkey", "stored", table(spark, d, "orders"), "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey || '/' || o_orderkey AS key FROM orders")
+def rel_composite_key(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", keys.composite_key(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("key"))
+
+
+_ENTRIES = f"""{RLOG}, en AS (SELECT log_id, idx + idx // 5 AS idx, term, 'COMMAND' AS type, idx + 1 AS seq_start, CASE WHEN idx % 7 = 3 THEN idx + 2 ELSE idx + 1 END AS seq_after FROM rl),
+p AS (SELECT *, lag(idx) OVER w AS pi, lag(term) OVER w AS pt, lag(seq_after) OVER w AS pa FROM en WINDOW w AS (PARTITION BY log_id ORDER BY idx))"""
+
+
+@query(f"WITH {_ENTRIES} SELECT log_id, idx, CASE WHEN idx <> pi + 1 THEN 'INDEX' WHEN term < pt THEN 'TERM' ELSE 'SEQUENCE' END AS problem FROM p WHERE pi IS NOT NULL AND (idx <> pi + 1 OR term < pt OR seq_start <> pa + 1)")
+def rlog_continuity(spark, d):
+    e = rlog_of(spark, d).withColumns({
+        "type": F.lit("COMMAND"), "seq_start": F.col("idx") + 1, "seq_after": F.when(F.col("idx") % 7 == 3, F.col("idx") + 2).otherwise(F.col("idx") + 1),
+        "previous_hash": F.lit("x"), "entry_hash": F.lit("x"),
+    })
+    return replog.violations(e.withColumn("idx", F.expr("idx + idx div 5")))
+
+
+@query(f"WITH {RLOG}, b AS (SELECT *, row_number() OVER w AS n, sum(length) OVER w AS s FROM rl WHERE idx >= 1 AND idx < 9 WINDOW w AS (PARTITION BY log_id ORDER BY idx)) SELECT log_id, idx, length FROM b WHERE n <= 4 AND (n = 1 OR s <= 600)")
+def rlog_bounded_read(spark, d):
+    return replog.bounded_read(rlog_of(spark, d), 1, 9, 4, 600).select("log_id", "idx", "length")
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx, term FROM rl WHERE idx < 3")
+def rlog_truncate(spark, d):
+    return replog.truncate_suffix(rlog_of(spark, d), 3, 1, 0).select("log_id", "idx", "term")
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx, sha256(lpad(cast(idx AS VARCHAR), 4, '0') || '|' || cast(term AS VARCHAR) || '|' || coalesce(text, '')) AS entry_hash FROM rl")
+def rlog_hash_chain(spark, d):
+    r = rlog_of(spark, d)
+    return r.select("log_id", "idx", replog.entry_hash(F.lpad(F.col("idx").cast("string"), 4, "0"), F.col("term").cast("string"), F.coalesce("text", F.lit(""))).alias("entry_hash"))
+
+
+_VOTES = "v AS (SELECT user_id // 5 AS log_id, user_id AS voter, max(event_id) AS match FROM events GROUP BY 1, 2), q AS (SELECT log_id, match, row_number() OVER (PARTITION BY log_id ORDER BY match DESC) AS rn, count(*) OVER (PARTITION BY log_id) AS n FROM v), k AS (SELECT log_id, match AS quorum_index FROM q WHERE rn = n // 2 + 1)"
+
+
+@query(f"WITH {_VOTES} SELECT log_id, quorum_index, CASE WHEN quorum_index % 3 = 1 AND quorum_index > 100 THEN quorum_index ELSE 100 END AS commit_index FROM k")
+def quo_commit_index(spark, d):
+    e = table(spark, d, "events")
+    votes = e.groupBy(F.expr("user_id div 5").alias("log_id"), F.col("user_id").alias("voter")).agg(F.max("event_id").alias("match"))
+    log = e.select(F.expr("user_id div 5").alias("log_id"), F.col("event_id").alias("idx"), (F.col("event_id") % 3).alias("term"))
+    return replog.commit_index(votes, log, 1, 100)
+
+
+def _voters(spark, d):
+    e = table(spark, d, "events")
+    v = e.groupBy(F.expr("user_id div 6").alias("log_id"), F.col("user_id").alias("voter")).agg(F.max("event_id").alias("idx"))
+    sides = v.select("log_id", "voter", F.when(F.col("voter") % 2 == 0, "OLD").otherwise("NEW").alias("config"))
+    return sides, v.filter("voter % 6 <> 5").select("log_id", "voter", "idx")
+
+
+_SIDES = """v AS (SELECT user_id // 6 AS log_id, user_id AS voter, CASE WHEN user_id % 2 = 0 THEN 'OLD' ELSE 'NEW' END AS config, CASE WHEN user_id % 6 = 5 THEN 0 ELSE m END AS idx, user_id % 6 <> 5 AS heard FROM (SELECT user_id, max(event_id) AS m FROM events GROUP BY 1) e)"""
+
+
+@query(f"WITH {_SIDES}, q AS (SELECT *, row_number() OVER (PARTITION BY log_id, config ORDER BY idx DESC) AS rn, count(*) OVER (PARTITION BY log_id, config) AS n FROM v) SELECT log_id, min(idx) AS commit_index, count(*) AS configurations FROM q WHERE rn = n // 2 + 1 GROUP BY 1")
+def quo_joint_commit(spark, d):
+    return replog.joint_commit(*_voters(spark, d))
+
+
+@query(f"WITH {_SIDES}, q AS (SELECT log_id, config, count(*) FILTER (WHERE heard) >= count(*) // 2 + 1 AS ok FROM v GROUP BY 1, 2) SELECT log_id, bool_and(ok) AS accepted FROM q GROUP BY 1")
+def quo_dual_majority(spark, d):
+    return replog.dual_majority(*_voters(spark, d))
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx, CASE WHEN term <> 1 THEN CASE WHEN term > 1 THEN 'UP_TO_DATE' ELSE 'STALE' END WHEN idx <> 5 THEN CASE WHEN idx > 5 THEN 'UP_TO_DATE' ELSE 'STALE' END WHEN log_id % 2 = 0 THEN 'UP_TO_DATE' ELSE 'DIVERGED' END AS decision FROM rl")
+def quo_freshness(spark, d):
+    r = rlog_of(spark, d)
+    decision = replog.freshness(F.col("term"), F.col("idx"), F.col("log_id") % 2, F.lit(1), F.lit(5), F.lit(0).cast("long"))
+    return r.select("log_id", "idx", decision.alias("decision"))
+
+
+@query("SELECT user_id AS follower, event_id AS at, event_id * 7919 % 10007 AS match, max(event_id * 7919 % 10007) OVER (PARTITION BY user_id ORDER BY event_id) AS match_index FROM events")
+def quo_follower_match(spark, d):
+    return replog.follower_match(table(spark, d, "events").select(F.col("user_id").alias("follower"), F.col("event_id").alias("at"), (F.col("event_id") * 7919 % 10007).alias("match")))
+
+
+def _samples(spark, d):
+    return table(spark, d, "events").select(F.col("event_type").alias("op"), F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("ordinal"))
+
+
+def _summary(source: str) -> str:
+    q = ", ".join(f"quantile_disc(value, {p}) AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
+    return f"SELECT event_type AS op, count(*) AS count, count(*) FILTER (WHERE event_type = 'error') AS errors, min(value) AS least, {q}, max(value) AS most, count(*)::DOUBLE AS per_second FROM {source} GROUP BY 1"
+
+
+_UNUSED = "UNION ALL SELECT 'SNAPSHOT', 0, 0, 0, 0, 0, 0, 0, 0"
+
+
+@query(f"{_summary('events')} {_UNUSED}")
+def met_operation_summary(spark, d):
+    types = tuple(r.op for r in _samples(spark, d).select("op").distinct().collect())  # a handful of event types
+    return metrics.summary(_samples(spark, d), (*types, "SNAPSHOT")).drop("mean")
+
+
+@query(_summary("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) y WHERE rn <= 500) x") + f" {_UNUSED}")
+def met_recent_percentiles(spark, d):
+    types = tuple(r.op for r in _samples(spark, d).select("op").distinct().collect())
+    return metrics.summary(metrics.recent(_samples(spark, d), 500, part=1000), (*types, "SNAPSHOT")).drop("mean")
+
+
+_G = 1 << 30
+
+
+@query(f"""WITH i AS (SELECT event_id AS id, (event_id % 5)::INT AS m, event_id * 7 % 2600 * 1048576 AS wal, (event_id * 3 % 22)::INT AS l0, event_id * 11 % 9000 * 1048576 AS debt, (event_id % 40) * {_G} AS usable, 100 * {_G} AS total, event_id % 50 = 7 AS failed, event_id % 60 = 9 AS paused, event_id % 70 <> 3 AS native FROM events),
+s AS (SELECT *, failed OR false AS f, NOT native OR paused OR m >= 4 OR wal >= {2 * _G} OR l0 >= 20 OR debt >= {8 * _G} OR usable < {5 * _G} AS st,
+ concat_ws(',', CASE WHEN failed THEN 'BACKGROUND_FAILURE' END, CASE WHEN paused THEN 'ADMINISTRATIVE_PAUSE' END, CASE WHEN m >= 2 THEN 'IMMUTABLE_MEMTABLES' END, CASE WHEN NOT native THEN 'NATIVE_CAPACITY' END, CASE WHEN wal >= {_G // 2} THEN 'WAL_BYTES' END, CASE WHEN l0 >= 12 THEN 'LEVEL_ZERO_FILES' END, CASE WHEN debt >= {2 * _G} THEN 'COMPACTION_DEBT' END, CASE WHEN usable < {15 * _G} THEN 'DISK_SPACE' END) AS reasons,
+ greatest(0, least(1, (m - 2) / 2.0::DOUBLE), least(1, (wal - {_G // 2})::DOUBLE / {2 * _G - _G // 2}), least(1, (l0 - 12) / 8.0::DOUBLE), least(1, (debt - {2 * _G})::DOUBLE / {6 * _G}), 1 - greatest(0, least(1, (usable - {5 * _G})::DOUBLE / {10 * _G}))) AS sev FROM i)
+SELECT id, CASE WHEN f THEN 'FAILED' WHEN st THEN 'STOPPED_RETRYABLE' WHEN reasons = '' THEN 'NORMAL' ELSE 'SLOWDOWN' END AS state, reasons,
+ CASE WHEN NOT f AND NOT st AND reasons <> '' THEN least(10000, floor(100 + sev * sev * 9900 + 0.5))::BIGINT ELSE 0 END AS delay_micros FROM s""")
+def pol_write_pressure(spark, d):
+    m = F.expr
+    grid = table(spark, d, "events").select(
+        m("event_id AS id"), m("int(event_id % 5) AS immutable_memtables"), m("event_id * 7 % 2600 * 1048576 AS wal_bytes"), m("int(event_id * 3 % 22) AS l0_files"),
+        m("event_id * 11 % 9000 * 1048576 AS debt_bytes"), m(f"(event_id % 40) * {_G} AS usable_disk"), m(f"100L * {_G} AS total_disk"), m("true AS disk_ok"),
+        m("event_id % 50 = 7 AS failed"), m("event_id % 60 = 9 AS paused"), m("event_id % 70 <> 3 AS native_ok"),
+    )
+    return write.write_pressure(grid).select("id", "state", "reasons", "delay_micros")
+
+
+@query(f"WITH {FILES} SELECT level, count(*) AS files, sum(file_size)::BIGINT AS bytes, min(file_number) AS oldest_file, max(file_number) AS newest_file FROM mf GROUP BY 1")
+def insp_level_report(spark, d):
+    return inspect.level_report(files_of(spark, d))
+
+
+@query(f"WITH {LOG}, b AS (SELECT * FROM log UNION ALL SELECT * FROM log) SELECT k, seq, op::INT AS op, count(*) AS copies, 1::BIGINT AS different_values FROM b GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def insp_verify_duplicates(spark, d):
+    log = log_of(spark, d)
+    return resolve.duplicate_versions(log.union(log))
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v, false AS conflict FROM {_NEWEST.format('')}")
+def insp_salvage_latest(spark, d):
+    log = log_of(spark, d)
+    return inspect.salvage(log.union(log))
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx FROM rl a WHERE NOT EXISTS (SELECT 1 FROM rl b WHERE b.log_id = a.log_id AND b.idx <= a.idx AND length(b.text) % 5 = 0)")
+def insp_valid_prefix(spark, d):
+    r = rlog_of(spark, d).withColumn("valid", F.length("text") % 5 != 0)
+    return inspect.valid_prefix(r, "idx", "log_id").select("log_id", "idx")
+
+
+@query("SELECT page_id, CASE WHEN contains(url, '/') THEN regexp_extract(url, '^(.*)/[^/]*$', 1, 's') ELSE '(root)' END AS key_group, regexp_extract(url, '([^/]*)$', 1, 's') AS key_field FROM pages")
+def disp_group_field(spark, d):
+    return table(spark, d, "pages").select("page_id", keys.key_group(F.col("url")).alias("key_group"), keys.key_field(F.col("url")).alias("key_field"))
+
+
+@query("SELECT c_custkey, lower(lpad(printf('%X', c_custkey), 16, '0')) AS low, c_name AS shown FROM customer")
+def disp_keys(spark, d):
+    c = table(spark, d, "customer")
+    body = F.substring(F.lower(F.hex(keys.long_key(F.col("c_custkey")))), 2, 15)
+    return c.select("c_custkey", F.concat(F.lit("0"), body).alias("low"), keys.display_key(keys.string_key(F.col("c_name"))).alias("shown"))
