@@ -6,8 +6,8 @@ order is cut into fragments, and so is each document's set:
 1. *Candidates.*  Sets within the threshold differ in at most ``K`` n-grams.  Where the order is
    cut into more than ``K`` fragments, such sets agree on whole fragments.  ``K`` depends on the
    sizes, so sizes are cut into levels and a set is cut once for each level in which it can have
-   a smaller partner.  Only a set with too few filled fragments (``<= K``) also shows its
-   empty ones.  This loses no link; see ``fragment_keys``.
+   a smaller partner.  A set that shares fewer fragments than every link would make it share is no candidate.
+   This loses no link; see ``fragment_keys``.
 2. *Classes.*  Equal sets (equal 64-bit sums of mixed hashes) are one node, so copies never meet.
 3. *Counting.*  Of a candidate pair, partial overlaps are counted fragment by fragment and summed per pair.
 4. *Hot fragments.*  All sets with a common fragment are first compared with one pivot only.  Sets that
@@ -22,6 +22,7 @@ chance that any two share a number is about 3 %.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,24 +40,31 @@ _RATIO = 3 / 2
 
 
 def levels(largest: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(first size, size after the last, K, fragments) of each level up to ``largest``."""
+    """(first size, size after the last, K, fragments) of each level up to ``largest``.
+
+    There are as many fragments over K as the level's smallest sets are likely to leave empty, and a few more.
+    """
     out, low = [], 1
     while low <= largest:
         high = max(low + 1, int(low * _RATIO))
         small = high - 1
         most = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-        out.append((low, high, most, most + 4 + 6 // (most + 1)))
+        parts = most + 4
+        for _ in range(6):
+            empty = parts * math.exp(-low / parts)
+            parts = min(most + 5 + math.ceil(empty + 3 * math.sqrt(empty)), max(most + 4, 3 * low + 8))
+        out.append((low, high, most, parts))
         low = high
     return out
 
 
-def fragment_keys(ordered: np.ndarray, percent: int, table: list[tuple[int, int, int, int]], lows: np.ndarray) -> np.ndarray:
-    """Keys under which a set (sorted distinct hashes) meets every different set within the threshold.
+def fragment_keys(ordered: np.ndarray, percent: int, table: list[tuple[int, int, int, int]], lows: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(level, need, keys): keys under which a set (sorted distinct hashes) meets every different set within the threshold, and how many they share.
 
     Let x be the smaller and y the larger of a pair, at x's level with M fragments and at most K
-    differing n-grams: at least M - K fragments are equal.  If x or y fills more than K fragments,
-    fewer than M - K of its fragments are empty, so a filled one is equal.  Otherwise both also show
-    their empty fragments, and any equal one is met.
+    differing n-grams: at least M - K fragments are equal.  A set with F > K filled fragments shows those; M - F of the equal ones may be
+    empty, so it shares F - K or more of its keys.  A set with fewer filled fragments shows its empty ones too and shares M - K; if both of a pair
+    are such sets they meet, and if one is not, it shares a filled one with the other.
     """
     size = len(ordered)
     first = int(np.searchsorted(lows, -(-size * percent // 100), "right")) - 1
@@ -71,11 +79,13 @@ def fragment_keys(ordered: np.ndarray, percent: int, table: list[tuple[int, int,
             part = ((ordered >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cut = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
             sums, filled = np.add.reduceat(values, cut), part[cut]
-            if len(cut) <= most:
+            need = len(cut) - most
+            if need <= 0:
                 rest = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
                 sums, filled = np.concatenate((sums, np.zeros(len(rest), np.uint64))), np.concatenate((filled, rest))
-            out.append(K.mix(sums ^ K.mix(filled + np.uint64(level << 32), 12), 13))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                need = 1
+            out.append((level, need, K.mix(sums ^ K.mix(filled + np.uint64(level << 32), 12), 13)))
+    return out
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -94,39 +104,53 @@ def _node(ordered: np.ndarray) -> int:
     return int(K.mix(np.array([total ^ np.uint64(len(ordered))], np.uint64), 22).view(np.int64)[0])
 
 
+def _lists(lists: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)))
+
+
+_SKETCH = "doc_id bigint, n bigint, node bigint, keys array<bigint>, levels array<int>"
+
+
 def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (number of the set), keys (fragment keys)."""
+    """doc_id, n (set size), node (number of the set), keys (fragment keys), levels (level, need and number of keys of each level)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, lows = levels(1, percent), np.zeros(0)
         for batch in K.slices(batches):
-            n, node, lists = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
+            n, node, keys, marks = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], []
             for row, ordered in _sets(batch, size):
                 n[row], node[row] = len(ordered), _node(ordered)
                 if len(lows) == 0 or table[-1][1] <= len(ordered):
                     table = levels(max(1, 2 * len(ordered)), percent)
                     lows = np.array([x[0] for x in table])
-                lists.append(fragment_keys(ordered, percent, table, lows))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(ends), K.longs(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), keys], ["doc_id", "n", "node", "keys"])
+                found = fragment_keys(ordered, percent, table, lows)
+                keys.append(np.concatenate([np.zeros(0, np.uint64), *[k for _, _, k in found]]).view(np.int64))
+                marks.append(np.array([x for level, need, k in found for x in (level, need, len(k))], np.int32))
+            cols = [batch.column(0), pa.array(n), pa.array(node), _lists(keys, np.int64), _lists(marks, np.int32)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "keys", "levels"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
 def _matching(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, node, n) of the fragment keys that may be shared."""
+    """(key, node, n, level, need) of the fragment keys that may be shared, of the sets that may share enough."""
     shared = sketched.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            keys, count = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            marks = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()) // 3)
+            run_of = np.repeat(np.arange(len(marks)), marks[:, 2])
             use = passes(shared.value, keys)
-            row = np.repeat(np.arange(batch.num_rows), count)[use]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[use]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "node", "n"])
+            use &= (np.bincount(run_of[use], minlength=len(marks)) >= marks[:, 1])[run_of]
+            run_of = run_of[use]
+            at = pa.array(row[run_of])
+            cols = [pa.array(keys[use]), batch.column(0).take(at), batch.column(1).take(at), pa.array(marks[run_of, 0]), pa.array(marks[run_of, 1])]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "node", "n", "level", "need"])
 
-    return sketched.select("node", "n", "keys").mapInArrow(run, "key bigint, node bigint, n bigint")
+    return sketched.select("node", "n", "keys", "levels").mapInArrow(run, "key bigint, node bigint, n bigint, level int, need int")
 
 
 def _fragments(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -222,8 +246,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     common = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
     common = checkpoint(common)
     hits = _matching(sketched, bit_filter(common, "key")).join(common, "key", "left_semi").distinct()
-    weights = hits.groupBy("node").agg(F.count("*").alias("weight"))
-    hits = checkpoint(hits.join(weights, "node"))
+    enough = hits.groupBy("node", "level", "need").agg(F.count("*").alias("weight")).filter("weight >= need")
+    hits = checkpoint(hits.join(enough, ["node", "level", "need"]).select("key", "node", "n", "weight"))
 
     reps = hits.select("node").distinct().join(classes, "node").select("node", "doc_id")
     fragments = checkpoint(_fragments(docs, checkpoint(reps), size))
