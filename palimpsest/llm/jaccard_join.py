@@ -195,6 +195,20 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     return out.withColumn("linked", F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
 
 
+def _common_grams(lists: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows of ``lists`` with each of their ``grams`` that a bit filter lets pass."""
+    shared = lists.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, count = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(5).offsets.to_numpy())
+            use = passes(shared.value, grams)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), count)[use])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(5)], pa.array(grams[use])], ["a", "b", "nb", "d", "linked", "gram"])
+
+    return lists.mapInArrow(run, "a bigint, b bigint, nb bigint, d bigint, linked boolean, gram bigint")
+
+
 def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) of sets that met the same pivot and may link while the pivot links not both.
 
@@ -206,14 +220,16 @@ def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFr
     """
     active = star.groupBy("a").agg(F.count("*").alias("members"), F.bool_and("linked").alias("all")).filter("members > 1 and not all").select("a")
     members = star.join(active, "a").withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("both"))
-    unlike = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
-    spread = _facing(members, fragments).select("a", "b", "nb", "d", "linked", F.explode(unlike).alias("gram"))
-    spread = checkpoint(spread)
-    common = spread.groupBy("a", "gram").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = spread.join(common, ["a", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = W.partitionBy("a", "b").orderBy("df", "gram")
+    unlike = F.transform(F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga")), lambda x: F.xxhash64("a", x))
+    lists = checkpoint(_facing(members, fragments).select("a", "b", "nb", "d", "linked", unlike.alias("grams")))
+    common = lists.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    common = checkpoint(common)
+    # what only one set has comes first in the order and meets no other: it need only be counted
+    found = _common_grams(lists, bit_filter(common, "gram")).join(common, "gram")
+    pair = W.partitionBy("a", "b")
+    place = F.row_number().over(pair.orderBy("df", "gram")) + F.col("d") - F.count("*").over(pair)
     most = F.expr(f"(nb + nb * 100 div {percent}) * {100 - percent} div {100 + percent}")
-    first = ranked.withColumn("i", F.row_number().over(order)).filter((F.col("i") <= most + 1) & (F.col("df") > 1))
+    first = found.withColumn("i", place).filter(F.col("i") <= most + 1)
     first = checkpoint(first.select("a", "gram", "b", "nb", "d", "linked", "i"))
     other = first.select("a", "gram", *[F.col(c).alias(f"{c}_") for c in ("b", "nb", "d", "linked", "i")])
     total = F.col("nb") + F.col("nb_")
