@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from palimpsest.llm import exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, quality_model, quality_rules, queries, sentencepiece_unigram, toxicity
 from palimpsest.llm import kernels as K
 from palimpsest.llm.oracles import ORACLES
+from palimpsest.llm.shared import checkpoint
 from tests.oracle import SF_DIR, both
 
 BPE, PIECES = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("piece_bpe_32k.model")
@@ -258,13 +259,13 @@ def test_pipeline_against_the_queries(spark):
     import corpus_pipeline
 
     docs = queries.table(spark, SF_DIR, "documents")
-    good = corpus_pipeline.stage_quality(spark, docs, SF_DIR)
+    good = checkpoint(corpus_pipeline.stage_quality(spark, docs, SF_DIR))
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in queries.op3_quality_rules(spark, SF_DIR).filter("kept").collect()}
-    clean = corpus_pipeline.stage_toxicity(spark, good, SF_DIR)
-    first = corpus_pipeline.stage_exact(spark, clean, SF_DIR)
+    clean = checkpoint(corpus_pipeline.stage_toxicity(spark, good, SF_DIR))
+    first = checkpoint(corpus_pipeline.stage_exact(spark, clean, SF_DIR))
     norm = {r.doc_id: re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in clean.collect()}
     assert {r.doc_id for r in first.collect()} == {min(k for k in norm if norm[k] == t) for t in set(norm.values())}
-    near = corpus_pipeline.stage_near(spark, first, SF_DIR)
+    near = checkpoint(corpus_pipeline.stage_near(spark, first, SF_DIR))
     sets = {r.doc_id: grams(r.text, 5) for r in first.collect()}
     kept = {r.doc_id for r in near.collect()}
     links = [(a, b) for a, b in combinations(sorted(sets), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
