@@ -28,14 +28,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.shared import bit_filter, checkpoint, connected_components, passes
+from palimpsest.llm.shared import bit_filter, bit_planes, checkpoint, connected_components, may_be_in, passes
 
 #: Fragments of the order in which partial overlaps are counted.
 COUNT_FRAGMENTS = 4
+#: Rarity of an n-gram of a difference set, in powers of four of the sets that have it: planes of ``2 ** PLANE_BITS`` bits, 1 MB each.
+PLANES, PLANE_BITS = 6, 23
 _RATIO = 3 / 2
 
 
@@ -133,6 +134,18 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
 
+def _one_of_each(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The fragment keys of one row of each node, and of few others: a key with one row has one node."""
+    shared = sketched.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = passes(shared.value, batch.column(0).fill_null(0).to_numpy() ^ batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(use)).flatten()], ["key"])
+
+    return sketched.filter("n > 0").select("doc_id", "node", "keys").mapInArrow(run, "key bigint")
+
+
 def _matching(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
     """(key, node, n, level, need) of the fragment keys that may be shared, of the sets that may share enough."""
     shared = sketched.sparkSession.sparkContext.broadcast(bits)
@@ -195,18 +208,47 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     return out.withColumn("linked", F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both")))
 
 
-def _common_grams(lists: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows of ``lists`` with each of their ``grams`` that a bit filter lets pass."""
+def _useful_grams(lists: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows of ``lists`` with those of their ``grams`` that a bit filter lets pass."""
     shared = lists.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, count = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(5).offsets.to_numpy())
             use = passes(shared.value, grams)
-            at = pa.array(np.repeat(np.arange(batch.num_rows), count)[use])
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(5)], pa.array(grams[use])], ["a", "b", "nb", "d", "linked", "gram"])
+            left = np.bincount(np.repeat(np.arange(batch.num_rows), count)[use], minlength=batch.num_rows)
+            some = pa.array(np.flatnonzero(left))
+            ends = np.concatenate(([0], np.cumsum(left[left > 0]))).astype(np.int32)
+            cols = [*[batch.column(k).take(some) for k in range(5)], pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[use]))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "nb", "d", "linked", "grams"])
+
+    return lists.mapInArrow(run, "a bigint, b bigint, nb bigint, d bigint, linked boolean, grams array<bigint>")
 
-    return lists.mapInArrow(run, "a bigint, b bigint, nb bigint, d bigint, linked boolean, gram bigint")
+
+def _prefixes(whole: DataFrame, planes: list[np.ndarray], percent: int) -> DataFrame:
+    """(a, gram, b, nb, d, linked, i): the first n-grams of each difference set, rarest first, with their places in it.
+
+    The order is one for all sets: n-grams that the filter of useful ones holds back, then the others by plane and value.
+    """
+    shared = whole.sparkSession.sparkContext.broadcast(planes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, count = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(5).offsets.to_numpy())
+            row = np.repeat(np.arange(batch.num_rows), count)
+            rank = np.sum([passes(plane, grams) for plane in shared.value], axis=0, dtype=np.int64)
+            grams = grams[np.lexsort((grams, rank, row))]
+            nb, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = (nb + nb * 100 // percent) * (100 - percent) // (100 + percent)
+            begin = np.cumsum(count) - count
+            place = np.arange(len(grams)) - begin[row] + 1 + (d - count)[row]
+            use = place <= most[row] + 1
+            at = pa.array(row[use])
+            a, b, nb, d, linked = (batch.column(k).take(at) for k in range(5))
+            cols = [a, pa.array(grams[use]), b, nb, d, linked, pa.array(place[use])]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "gram", "b", "nb", "d", "linked", "i"])
+
+    return whole.mapInArrow(run, "a bigint, gram bigint, b bigint, nb bigint, d bigint, linked boolean, i bigint")
 
 
 def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
@@ -222,15 +264,14 @@ def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFr
     members = star.join(active, "a").withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("both"))
     unlike = F.transform(F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga")), lambda x: F.xxhash64("a", x))
     lists = checkpoint(_facing(members, fragments).select("a", "b", "nb", "d", "linked", unlike.alias("grams")))
-    common = lists.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    common = checkpoint(common)
-    # what only one set has comes first in the order and meets no other: it need only be counted
-    found = _common_grams(lists, bit_filter(common, "gram")).join(common, "gram")
-    pair = W.partitionBy("a", "b")
-    place = F.row_number().over(pair.orderBy("df", "gram")) + F.col("d") - F.count("*").over(pair)
-    most = F.expr(f"(nb + nb * 100 div {percent}) * {100 - percent} div {100 + percent}")
-    first = found.withColumn("i", place).filter(F.col("i") <= most + 1)
-    first = checkpoint(first.select("a", "gram", "b", "nb", "d", "linked", "i"))
+    # an n-gram that one set alone has, or only sets that link with the pivot, makes no pair: it comes first in the order and need only be counted
+    useful = lists.select(F.explode("grams").alias("gram"), "linked").groupBy("gram").agg(F.count("*").alias("df"), F.bool_and("linked").alias("all"))
+    useful = checkpoint(useful.filter("df > 1 and not all").select("gram", F.least(F.floor(F.log2("df") / 2), F.lit(PLANES)).cast("int").alias("plane")))
+    above = useful.filter("plane > 0").select("gram", F.explode(F.sequence(F.lit(0), F.col("plane") - 1)).alias("plane"))
+    planes = bit_planes(above, "gram", "plane", PLANES, PLANE_BITS)
+    # at most COUNT_FRAGMENTS rows of a pair are put together, never more than its difference set
+    whole = _useful_grams(lists, bit_filter(useful, "gram")).groupBy("a", "b", "nb", "d", "linked").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    first = checkpoint(_prefixes(whole, planes, percent))
     other = first.select("a", "gram", *[F.col(c).alias(f"{c}_") for c in ("b", "nb", "d", "linked", "i")])
     total = F.col("nb") + F.col("nb_")
     left = F.col("d") + F.col("d_") - 2 * (1 + F.least(F.col("d") - F.col("i"), F.col("d_") - F.col("i_")))
@@ -256,11 +297,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     Extra columns are ignored.  An empty table gives an empty result.
     """
     sketched = checkpoint(sketches(docs, size, percent))
-    classes = sketched.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))
+    classes = checkpoint(sketched.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")))
 
-    spread = sketched.select(F.explode("keys").alias("key"), "node")
-    common = spread.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    common = checkpoint(common)
+    one_each = _one_of_each(sketched, bit_filter(classes.select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("x")), "x"))
+    common = checkpoint(one_each.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"))
     hits = _matching(sketched, bit_filter(common, "key")).join(common, "key", "left_semi").distinct()
     enough = hits.groupBy("node", "level", "need").agg(F.count("*").alias("weight")).filter("weight >= need")
     hits = checkpoint(hits.join(enough, ["node", "level", "need"]).select("key", "node", "n", "weight"))
@@ -291,9 +331,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
 
-    The rows that go are taken out by id.  Rows without words stay, and so do rows without an id unless their component has one with an id.
+    The rows that go are taken out by id.  Rows without words stay, and so do rows without an id.
     """
     told = jaccard_components(docs, size, percent)
-    gone = told.filter("n_shingles > 0 AND component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone")).distinct()
+    gone = told.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     gone = checkpoint(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    may_go = may_be_in(gone, "gone")("doc_id")
+    doubtful = docs.filter(may_go)
+    return docs.filter(~may_go).union(doubtful.join(gone, doubtful["doc_id"] == gone["gone"], "left_anti"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,26 +28,42 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
-    """The set bits of a column of longs, folded to ``2 ** FILTER_BITS`` bits; built on the executors, 8 MB at the driver."""
-    low = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def bit_planes(keys: DataFrame, key: str, plane: str | Column, planes: int, bits: int = FILTER_BITS) -> list[np.ndarray]:
+    """For each plane the set bits of its longs, folded to ``2 ** bits`` bits; built on the executors, ``planes << bits - 3`` bytes at the driver."""
+    low = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
     parts = (
-        keys.select(low.alias("b"))
-        .groupBy(F.shiftright("b", 15).alias("part"))
+        keys.select(low.alias("b"), (F.col(plane) if isinstance(plane, str) else plane).alias("plane"))
+        .groupBy("plane", F.shiftright("b", 15).alias("part"))
         .agg(F.bitmap_construct_agg(F.col("b").bitwiseAND(F.lit(32767))).alias("bits"))
     )
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(planes)]
     for row in parts.toLocalIterator():
-        out[row.part << 12 : (row.part + 1) << 12] = np.frombuffer(row.bits, np.uint8)
+        out[row.plane][row.part << 12 : (row.part + 1) << 12] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """The set bits of a column of longs, folded to ``2 ** FILTER_BITS`` bits: 8 MB at the driver."""
+    return bit_planes(keys, key, F.lit(0), 1)[0]
+
+
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in a bit filter."""
-    low = keys.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
+    low = keys.view(np.uint64) & np.uint64(8 * len(bits) - 1)
     return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def may_be_in(ids: DataFrame, key: str) -> Callable[[str], Column]:
+    """A test of a column of longs against the ids of ``ids``: false only for ids that are not there, so that the others alone need a join."""
+    shared = ids.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.coalesce(key, F.lit(0)).alias("x")), "x"))
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, x.fillna(0).to_numpy(np.int64)))
+
+    return lambda column: may(F.coalesce(column, F.lit(0)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of (a, b) edges; the component is its smallest node.
 
