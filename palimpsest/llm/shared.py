@@ -23,8 +23,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which outlives lost executors."""
+    """Cuts the lineage with a reliable checkpoint, which outlives lost executors.
+
+    Nothing refers any longer to what earlier steps shuffled; Spark deletes such files once the driver's heap is
+    collected, which is asked for here and not left to chance, so that they do not fill the executors' disks.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
