@@ -146,7 +146,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
-    The rows that go are few, so they are taken out; repeated rows with one id go down to one.
+    The rows that go are taken out by id, so repeated rows with the id of a row that stays all stay.
     """
     told = exact_duplicates(docs)
     gone = told.filter("not kept").select("doc_id").distinct()
