@@ -1,9 +1,12 @@
 """License scan: exact set-similarity join of text blocks with license templates, in built-in expressions only.
 
-A block is a line of a text.  It matches a template when at least ``percent`` of the template's distinct words
-stand in it (containment).  Tokens have one global order: template words by the number of blocks of the whole corpus that
-have them, rarest first, then all others, which can match nothing.  Filters, none of which loses a match:
+A block is a line of a text, or a window: a run of consecutive words, wherever lines end.  A block matches a template when at least
+``percent`` of the template's distinct words stand in it (containment).  A template's windows have ``100 / percent`` as many words as
+its text, so a statement wrapped over any number of lines is found, also with marks of comments in between, while words that are
+strewn over a text match nothing.  Tokens have one global order: template words by the number of lines
+that have them, rarest first, then all others, which can match nothing.  Filters, none of which loses a match:
 
+* *text*: a text with a match has ``due`` words of that template in all; only such texts are cut into blocks;
 * *prefix*: a match shares one of the template's ``size - due + 1`` first words;
 * *length*: a matching block has at least ``due`` words;
 * *position*: from the first shared word on, block and template must both have ``due`` words left.
@@ -16,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import checkpoint
+
 #: Fixed values: (label, text) of common license statements.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -41,11 +46,19 @@ _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAPS_IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _all_words(text: str) -> list[str]:
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UP, _LOW)))
+
+
 def template_words(text: str) -> list[str]:
     """Distinct words of a template, as the scan takes them."""
-    import re
+    return list(dict.fromkeys(_all_words(text)))
 
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(_UP, _LOW)))))
+
+def _due(own: list, percent: int) -> int:
+    return max(1, -(-len(own) * percent // 100))
 
 
 def _count(text: Column, part: str) -> Column:
@@ -85,10 +98,46 @@ def _blocks(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     return lines.select("__key", F.size(F.array_distinct(words)).alias("size"), held.alias("held")).filter(F.size("held") > 0)
 
 
+def _likely(docs: DataFrame, templates: tuple[tuple[str, str], ...], percent: int) -> DataFrame:
+    """The rows of ``docs`` (__key, __low) with as many words of a template, anywhere in the text, as a match has.
+
+    The words go through a generator: the optimizer would put them into the filter once for each template.
+    """
+    sets = [template_words(t) for _, t in templates]
+    words = lambda ws: F.array(*[F.lit(w) for w in ws])
+    text = F.split(F.btrim(F.regexp_replace("__low", _GAPS, " ")), " ")
+    held = docs.select("__key", "__low", F.explode(F.array(F.array_intersect(text, words(sorted({w for own in sets for w in own}))))).alias("held"))
+    enough = F.lit(False)
+    for own in sets:
+        enough = enough | (F.size(F.array_intersect("held", words(own))) >= _due(own, percent))
+    return held.filter(enough).select("__key", "__low")
+
+
+def _window_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...], percent: int) -> DataFrame:
+    """(__key, label, share) of each text of ``docs`` (__key, __low) and template with a window within the threshold."""
+    rows = []
+    for label, text in templates:
+        own = template_words(text)
+        rows.append(F.struct(
+            F.lit(label).alias("label"), F.array(*[F.lit(w) for w in own]).alias("own"),
+            F.lit(_due(own, percent)).alias("due"), F.lit(max(1, len(_all_words(text)) * 100 // percent)).alias("width"),
+        ))
+    words = docs.select("__key", F.split(F.btrim(F.regexp_replace("__low", _GAPS, " ")), " ").alias("words"))
+    words = words.select("__key", "words", F.explode(F.array(*rows)).alias("t"))
+    words = words.filter(F.size(F.array_intersect("words", "t.own")) >= F.col("t.due"))
+    # places of the template's words; a window begins at each of them
+    at = "filter(transform(words, (w, i) -> named_struct('w', w, 'i', i)), x -> array_contains(t.own, x.w))"
+    met = words.select("__key", "t", F.explode(F.array(F.expr(at))).alias("at"))
+    most = "array_max(transform(at, (x, k) -> size(array_distinct(transform(filter(slice(at, k + 1, t.width), y -> y.i < x.i + t.width), y -> y.w)))))"
+    met = met.select("__key", "t", F.explode(F.array(F.expr(most))).alias("both")).filter(F.col("both") >= F.col("t.due"))
+    return met.select("__key", F.col("t.label").alias("label"), (F.col("both") / F.size("t.own")).alias("share"))
+
+
 def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80) -> DataFrame:
-    """(__key, label, share) of every block of ``docs`` (__key, __low) and template within the threshold."""
+    """(__key, label, share) of the lines and windows of ``docs`` (__key, __low) and the templates within the threshold."""
     spark: SparkSession = docs.sparkSession
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
+    docs = checkpoint(_likely(docs, templates, percent))
     blocks = _blocks(docs, vocabulary)
     counts = blocks.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("blocks"))
     counted = {r.word: r.blocks for r in counts.collect()}  # at most one row for each template word
@@ -96,7 +145,7 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     index = []
     for number, (label, text) in enumerate(templates):
         own = sorted(rank[w] for w in template_words(text))
-        due = max(1, -(-len(own) * percent // 100))
+        due = _due(own, percent)
         for place, r in enumerate(own[: len(own) - due + 1]):
             index.append((number, label, r, place, due, own))
     prefixes = spark.createDataFrame(index, "template int, label string, word int, place int, due int, own array<int>")
@@ -112,7 +161,8 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     shared = met.withColumn("both", F.array_intersect("ranks", "own"))
     # a pair that meets at several words counts at the first of them
     due = shared.filter((F.size("both") >= F.col("due")) & (F.array_min("both") == F.col("word")))
-    return due.select("__key", "label", (F.size("both") / F.size("own")).alias("share"))
+    lines = due.select("__key", "label", (F.size("both") / F.size("own")).alias("share"))
+    return lines.union(_window_matches(docs, templates, percent))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80) -> DataFrame:

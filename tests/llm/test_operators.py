@@ -249,6 +249,30 @@ def test_license_phrases(odd):
     assert (r.n_base, r.base_labels) == (3, "cc-by,reserved") and r.score == 1.0
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+}
+
+
+def test_license_statements_wrapped_over_lines(spark):
+    """In their usual wrapping, in many short lines, behind comment marks, and inside long texts; strewn words are no statement."""
+    want, rows = {}, []
+    for name, text in WRAPPED.items():
+        words_ = text.split()
+        short = "\n".join(" ".join(words_[k : k + 3]) for k in range(0, len(words_), 3))
+        for form in (text, short, "dnl " + text.replace("\n", "\ndnl "), "lorem ipsum\n" * 900 + short + "\ndolor sit" * 900):
+            want[len(rows)] = name
+            rows.append((len(rows), form))
+        want[len(rows)] = ""
+        rows.append((len(rows), "\nlorem ipsum dolor ".join(words_)))
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v for k, (v, _) in got.items()} == want
+    assert all(score == (1.0 if want[k] else 0.0) for k, (_, score) in got.items())
+
+
 def test_span_hashes_tell_words_apart():
     words_ = sorted({f"{a}{b}{c}" for a in ("", "x", "ción", "ñ") for b in map(str, range(300)) for c in ("", ".", "e")})
     data, offsets = K.buffers(pa.array(words_))
