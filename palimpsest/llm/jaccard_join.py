@@ -23,11 +23,11 @@ chance that any two share a number is about 3 %.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
@@ -105,6 +105,17 @@ def _node(ordered: np.ndarray) -> int:
     return int(K.mix(np.array([total ^ np.uint64(len(ordered))], np.uint64), 22).view(np.int64)[0])
 
 
+def _nodes(size: int) -> Callable[[str], Column]:
+    """The number of the set of a column of texts, as ``sketches`` gives it."""
+
+    @F.arrow_udf("bigint")
+    def nodes(text: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])
+        return pa.array([_node(ordered) for batch in K.slices(iter([whole])) for _, ordered in _sets(batch, size)], pa.int64())
+
+    return nodes
+
+
 def _lists(lists: list[np.ndarray], kind: type) -> pa.ListArray:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)))
@@ -331,11 +342,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns.
 
-    The rows that go are taken out by id.  Rows without words stay, and so do rows without an id.
+    The rows that go are taken out by id and set, so of rows that share an id those with another set stay.  Rows without words
+    stay, and so do rows without an id.
     """
     told = jaccard_components(docs, size, percent)
-    gone = told.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    gone = told.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("node").alias("gone_node")).distinct()
     gone = checkpoint(gone)
     may_go = may_be_in(gone, "gone")("doc_id")
-    doubtful = docs.filter(may_go)
-    return docs.filter(~may_go).union(doubtful.join(gone, doubtful["doc_id"] == gone["gone"], "left_anti"))
+    doubtful = docs.filter(may_go).withColumn("__node", _nodes(size)("text"))
+    same = (F.col("doc_id") == F.col("gone")) & (F.col("__node") == F.col("gone_node"))
+    return docs.filter(~may_go).union(doubtful.join(gone, same, "left_anti").select(*docs.columns))

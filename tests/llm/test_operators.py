@@ -116,6 +116,13 @@ def test_jaccard_on_odd_rows(odd):
     assert got[2, 0] == 2 and got[6, 17 + 1] == got[7, 19] == got[11, 18] == got[None, 18] == 5 and got[None, 0] is None
 
 
+def test_near_keep_first_leaves_another_text_with_a_repeated_id(spark):
+    other = " ".join(f"other{k}" for k in range(30))
+    rows = [(5, BASE, "a"), (6, BASE, "b"), (6, other, "c"), (6, None, "d"), (7, BASE + " end", "e"), (None, BASE, "f"), (8, other, "g")]
+    left = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string, tag string"))
+    assert left.columns == ["doc_id", "text", "tag"] and sorted(r.tag for r in left.collect()) == ["a", "c", "d", "f"]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=9000), st.binary(max_size=9000), st.binary(max_size=300))
 def test_fingerprints_combine(x, y, z):
