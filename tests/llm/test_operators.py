@@ -190,6 +190,27 @@ def test_pieces_equal_the_library():
     assert codec.decode(ids.astype(np.int64), place) == texts
 
 
+def test_pieces_equal_the_unigram_library_on_all_texts():
+    """And not the file's own encoder, which is BPE."""
+    import sentencepiece
+    import sentencepiece.sentencepiece_model_pb2 as pb
+    import pyarrow.parquet as pq
+
+    raw = open(PIECES, "rb").read()
+    m = pb.ModelProto()
+    m.ParseFromString(raw)
+    assert m.trainer_spec.model_type == 2
+    m.trainer_spec.model_type = 1
+    for p in m.pieces:
+        p.score = max(p.score, -40000.0)
+    unigram, bpe = (sentencepiece.SentencePieceProcessor(model_proto=x) for x in (m.SerializeToString(), raw))
+    texts = [t or "" for t in pq.read_table(f"{SF_DIR}/documents.parquet")["text"].to_pylist()]
+    ids, place = sentencepiece_unigram.codec(PIECES).encode(pa.array(texts))
+    mine = [ids[a:b].tolist() for a, b in zip(place[:-1], place[1:])]
+    assert mine == [unigram.encode(t) for t in texts]
+    assert all(a != bpe.encode(t) for a, t in zip(mine, texts))
+
+
 def test_language_model_base_and_held_out(spark):
     got = {r.doc_id: r for r in queries.op6_lm_scoring(spark, SF_DIR).collect()}
     docs = {r.doc_id: r.text for r in queries.table(spark, SF_DIR, "documents").collect()}
