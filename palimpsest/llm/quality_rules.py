@@ -52,6 +52,8 @@ STOP_WORDS = (
 
 _SPACE = " \t\n\x0b\x0c\r"
 _WINDOW = 5
+#: Words of a stretch in which distinct words are counted: their share falls as a text grows, whatever the text is like.
+DISTINCT_WORDS = 5000
 
 
 def _distinct_windows(hashes: str) -> str:
@@ -64,6 +66,7 @@ def _distinct_windows(hashes: str) -> str:
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words, n_distinct, n_stop.
 
+    ``n_distinct`` is the sum over stretches of ``DISTINCT_WORDS`` words, the whole text in turn; a shorter text is one stretch.
     Names that ``docs`` has already are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -76,11 +79,13 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
         "n_marks": (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long"),
     })
+    stretches = f"sequence(0, (size(__words) - 1) div {DISTINCT_WORDS})"
+    distinct = f"aggregate({stretches}, 0L, (n, k) -> n + size(array_distinct(slice(__words, cast(k AS int) * {DISTINCT_WORDS} + 1, {DISTINCT_WORDS}))))"
     two = one.withColumns({
         "n_words": F.size("__words").cast("long"),
         "n_lines": F.size("__lines").cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        "n_distinct": F.size(F.array_distinct("__words")).cast("long"),
+        "n_distinct": F.expr(distinct),
         "n_stop": F.size(F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"),
         "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
     })

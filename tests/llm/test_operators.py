@@ -301,6 +301,18 @@ def test_license_statements_wrapped_over_lines(spark):
     assert all(score == (1.0 if want[k] else 0.0) for k, (_, score) in got.items())
 
 
+def test_very_long_clean_text_is_kept(spark):
+    """Words with the frequencies of prose, whose distinct ones are 25 % of a stretch and more, but under 25 % of the whole; few words repeated still go."""
+    rng = np.random.default_rng(1)
+    prose = [" ".join(["the", *(f"word{x}" for x in rng.zipf(1.2, n) % 10**6)]) for n in (5000, 80000)]
+    few = [" ".join(f"word{x}" for x in rng.integers(0, 1000, n)) + " the" * (n // 50) for n in (5000, 80000)]
+    docs = spark.createDataFrame(list(enumerate(prose + few)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert 4 * len(set(prose[1].split())) < len(prose[1].split()) < 4 * got[1].n_distinct
+    assert ["few_distinct_words" in got[k].broken for k in range(4)] == [False, False, True, True]
+    assert got[0].n_distinct == len(set(prose[0].split()[:5000])) + 1
+
+
 def test_span_hashes_tell_words_apart():
     words_ = sorted({f"{a}{b}{c}" for a in ("", "x", "ción", "ñ") for b in map(str, range(300)) for c in ("", ".", "e")})
     data, offsets = K.buffers(pa.array(words_))
