@@ -11,9 +11,9 @@ order is cut into fragments, and so is each document's set:
 2. *Classes.*  Equal sets (equal 64-bit sums of mixed hashes) are one node, so copies never meet.
 3. *Counting.*  Of a candidate pair, partial overlaps are counted fragment by fragment and summed per pair.
 4. *Hot fragments.*  All sets with a common fragment are first compared with one pivot only.  Sets that
-   link with it are connected.  Of the others, those meet that differ from the pivot in the same rare
-   n-grams (``_second_pairs``, with the proof that this suffices).  A large group of near copies so costs its size,
-   not its square, and every link that could connect two components is checked.
+   link with it are connected.  Of the others, those meet that are of different components and differ from the pivot in the
+   same rare n-grams (``_second_pairs``, with the proof that this suffices).  A large group of near copies that link with
+   their pivots so costs its size, not its square, and every link that could connect two components is checked.
 
 Sizes of what is held: no list of documents or pairs is ever gathered in a task or at the driver;
 the driver sees bit filters of 8 MB.  Node numbers have 64 bits: among 10^9 different sets the
@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
@@ -105,76 +106,92 @@ def _node(ordered: np.ndarray) -> int:
     return int(K.mix(np.array([total ^ np.uint64(len(ordered))], np.uint64), 22).view(np.int64)[0])
 
 
-def _nodes(size: int) -> Callable[[str], Column]:
-    """The number of the set of a column of texts, as ``sketches`` gives it."""
+def _nodes(docs: DataFrame, size: int, bits: np.ndarray) -> Callable[[str, str], Column]:
+    """The number of the set of a text, as ``sketches`` gives it, where a bit filter lets the id pass; else null."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("bigint")
-    def nodes(text: pa.Array) -> pa.Array:
-        whole = pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])
-        return pa.array([_node(ordered) for batch in K.slices(iter([whole])) for _, ordered in _sets(batch, size)], pa.int64())
+    def nodes(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+        due = pa.array(passes(shared.value, doc_id.to_numpy(zero_copy_only=False)))
+        some = text.filter(due)
+        made = [_node(ordered) for batch in K.slices(iter([pa.RecordBatch.from_arrays([some, some], ["doc_id", "text"])])) for _, ordered in _sets(batch, size)]
+        out = np.zeros(len(doc_id), np.int64)
+        out[due.to_numpy(zero_copy_only=False)] = made
+        return pa.array(out, mask=~due.to_numpy(zero_copy_only=False))
 
-    return nodes
+    return lambda doc_id, text: nodes(F.coalesce(doc_id, F.lit(0)), F.col(text))
 
 
-def _lists(lists: list[np.ndarray], kind: type) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)))
+class _Cutter:
+    """Fragment keys of sets as they come; the table of levels grows with the largest."""
 
+    def __init__(self, percent: int) -> None:
+        self.percent, self.table, self.lows = percent, levels(1, percent), np.zeros(0)
 
-_SKETCH = "doc_id bigint, n bigint, node bigint, keys array<bigint>, levels array<int>"
+    def __call__(self, ordered: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        if len(self.lows) == 0 or self.table[-1][1] <= len(ordered):
+            self.table = levels(max(1, 2 * len(ordered)), self.percent)
+            self.lows = np.array([x[0] for x in self.table])
+        return fragment_keys(ordered, self.percent, self.table, self.lows)
 
 
-def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), node (number of the set), keys (fragment keys), levels (level, need and number of keys of each level)."""
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n (set size) and node (number of the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lows = levels(1, percent), np.zeros(0)
         for batch in K.slices(batches):
-            n, node, keys, marks = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [], []
-            for row, ordered in _sets(batch, size):
-                n[row], node[row] = len(ordered), _node(ordered)
-                if len(lows) == 0 or table[-1][1] <= len(ordered):
-                    table = levels(max(1, 2 * len(ordered)), percent)
-                    lows = np.array([x[0] for x in table])
-                found = fragment_keys(ordered, percent, table, lows)
-                keys.append(np.concatenate([np.zeros(0, np.uint64), *[k for _, _, k in found]]).view(np.int64))
-                marks.append(np.array([x for level, need, k in found for x in (level, need, len(k))], np.int32))
-            cols = [batch.column(0), pa.array(n), pa.array(node), _lists(keys, np.int64), _lists(marks, np.int32)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "keys", "levels"])
+            made = [(len(ordered), _node(ordered)) for _, ordered in _sets(batch, size)]
+            n, node = np.array(made, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], ["doc_id", "n", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint")
+
+
+def _one_of_each(batch: pa.RecordBatch, size: int, bits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, node, set) of the rows that stand for their node, by a bit filter of ids and nodes, and of few others; no empty sets."""
+    ids = batch.column(0).fill_null(0).to_numpy()
+    for row, ordered in _sets(batch, size):
+        if len(ordered):
+            node = _node(ordered)
+            if passes(bits, np.array([ids[row] ^ node], np.int64))[0]:
+                yield row, node, ordered
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
 
+def _all_keys(docs: DataFrame, size: int, percent: int, reps: np.ndarray) -> DataFrame:
+    """The fragment keys of one row of each node, and of few others: a key with one row has one node.
 
-def _one_of_each(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The fragment keys of one row of each node, and of few others: a key with one row has one node."""
-    shared = sketched.sparkSession.sparkContext.broadcast(bits)
+    Keys are cut from the texts anew wherever they are needed: kept, they would take as much disk as the texts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(reps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            use = passes(shared.value, batch.column(0).fill_null(0).to_numpy() ^ batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(use)).flatten()], ["key"])
+        cut = _Cutter(percent)
+        for batch in K.slices(batches):
+            keys = [k for _, _, ordered in _one_of_each(batch, size, shared.value) for _, _, k in cut(ordered)]
+            yield pa.RecordBatch.from_arrays([K.longs(np.concatenate([np.zeros(0, np.uint64), *keys]))], ["key"])
 
-    return sketched.filter("n > 0").select("doc_id", "node", "keys").mapInArrow(run, "key bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "key bigint")
 
 
-def _matching(sketched: DataFrame, bits: np.ndarray) -> DataFrame:
+def _matching(docs: DataFrame, size: int, percent: int, reps: np.ndarray, common: np.ndarray) -> DataFrame:
     """(key, node, n, level, need) of the fragment keys that may be shared, of the sets that may share enough."""
-    shared = sketched.sparkSession.sparkContext.broadcast(bits)
+    one, many = (docs.sparkSession.sparkContext.broadcast(x) for x in (reps, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            marks = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(3).offsets.to_numpy()) // 3)
-            run_of = np.repeat(np.arange(len(marks)), marks[:, 2])
-            use = passes(shared.value, keys)
-            use &= (np.bincount(run_of[use], minlength=len(marks)) >= marks[:, 1])[run_of]
-            run_of = run_of[use]
-            at = pa.array(row[run_of])
-            cols = [pa.array(keys[use]), batch.column(0).take(at), batch.column(1).take(at), pa.array(marks[run_of, 0]), pa.array(marks[run_of, 1])]
-            yield pa.RecordBatch.from_arrays(cols, ["key", "node", "n", "level", "need"])
+        cut = _Cutter(percent)
+        for batch in K.slices(batches):
+            keys, marks = [np.zeros(0, np.uint64)], []
+            for _, node, ordered in _one_of_each(batch, size, one.value):
+                for level, need, found in cut(ordered):
+                    found = found[passes(many.value, found.view(np.int64))]
+                    if len(found) >= need:
+                        keys.append(found), marks.append((node, len(ordered), level, need, len(found)))
+            flat = np.array(marks, np.int64).reshape(-1, 5)
+            cols = np.repeat(flat[:, :4], flat[:, 4], axis=0)
+            arrays = [K.longs(np.concatenate(keys)), pa.array(cols[:, 0]), pa.array(cols[:, 1]), pa.array(cols[:, 2], pa.int32()), pa.array(cols[:, 3], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "node", "n", "level", "need"])
 
-    return sketched.select("node", "n", "keys", "levels").mapInArrow(run, "key bigint, node bigint, n bigint, level int, need int")
+    return docs.select("doc_id", "text").mapInArrow(run, "key bigint, node bigint, n bigint, level int, need int")
 
 
 def _fragments(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -184,12 +201,8 @@ def _fragments(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            ids, node, part, lists = batch.column(0).fill_null(0).to_numpy(), [], [], []
-            rows = []
-            for row, ordered in _sets(batch, size):
-                number = _node(ordered)
-                if not passes(shared.value, np.array([ids[row] ^ number], np.int64))[0]:
-                    continue
+            rows, node, part, lists = [], [], [], []
+            for row, number, ordered in _one_of_each(batch, size, shared.value):
                 cut = np.searchsorted(ordered, (np.arange(1, COUNT_FRAGMENTS) * (2.0**64 / COUNT_FRAGMENTS)).astype(np.uint64))
                 for k, grams in enumerate(np.split(ordered, cut)):
                     rows.append(row), node.append(number), part.append(k), lists.append(grams)
@@ -220,24 +233,23 @@ def _overlaps(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
 
 
 def _useful_grams(lists: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The rows of ``lists`` with those of their ``grams`` that a bit filter lets pass."""
+    """``lists`` with those of their ``grams`` that a bit filter lets pass; ``d`` counts all."""
     shared = lists.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, count = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(5).offsets.to_numpy())
+            grams, count = batch.column(4).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(4).offsets.to_numpy())
             use = passes(shared.value, grams)
             left = np.bincount(np.repeat(np.arange(batch.num_rows), count)[use], minlength=batch.num_rows)
-            some = pa.array(np.flatnonzero(left))
-            ends = np.concatenate(([0], np.cumsum(left[left > 0]))).astype(np.int32)
-            cols = [*[batch.column(k).take(some) for k in range(5)], pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[use]))]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "nb", "d", "linked", "grams"])
+            ends = np.concatenate(([0], np.cumsum(left))).astype(np.int32)
+            cols = [*[batch.column(k) for k in range(4)], pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(grams[use]))]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "b", "nb", "comp", "d", "grams"])
 
-    return lists.mapInArrow(run, "a bigint, b bigint, nb bigint, d bigint, linked boolean, grams array<bigint>")
+    return lists.mapInArrow(run, "a bigint, b bigint, nb bigint, comp bigint, d bigint, grams array<bigint>")
 
 
 def _prefixes(whole: DataFrame, planes: list[np.ndarray], percent: int) -> DataFrame:
-    """(a, gram, b, nb, d, linked, i): the first n-grams of each difference set, rarest first, with their places in it.
+    """(a, gram, b, nb, d, comp, i): the first n-grams of each difference set, rarest first, with their places in it.
 
     The order is one for all sets: n-grams that the filter of useful ones holds back, then the others by plane and value.
     """
@@ -249,46 +261,50 @@ def _prefixes(whole: DataFrame, planes: list[np.ndarray], percent: int) -> DataF
             row = np.repeat(np.arange(batch.num_rows), count)
             rank = np.sum([passes(plane, grams) for plane in shared.value], axis=0, dtype=np.int64)
             grams = grams[np.lexsort((grams, rank, row))]
-            nb, d = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            nb, d = batch.column(2).to_numpy(), batch.column(4).to_numpy()
             most = (nb + nb * 100 // percent) * (100 - percent) // (100 + percent)
             begin = np.cumsum(count) - count
             place = np.arange(len(grams)) - begin[row] + 1 + (d - count)[row]
             use = place <= most[row] + 1
             at = pa.array(row[use])
-            a, b, nb, d, linked = (batch.column(k).take(at) for k in range(5))
-            cols = [a, pa.array(grams[use]), b, nb, d, linked, pa.array(place[use])]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "gram", "b", "nb", "d", "linked", "i"])
+            a, b, nb, comp, d = (batch.column(k).take(at) for k in range(5))
+            cols = [a, pa.array(grams[use]), b, nb, d, comp, pa.array(place[use])]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "gram", "b", "nb", "d", "comp", "i"])
+
+    return whole.mapInArrow(run, "a bigint, gram bigint, b bigint, nb bigint, d bigint, comp bigint, i bigint")
+
 
-    return whole.mapInArrow(run, "a bigint, gram bigint, b bigint, nb bigint, d bigint, linked boolean, i bigint")
+def _component_of(rows: DataFrame, found: DataFrame, node: str, name: str) -> DataFrame:
+    """``rows`` with the component of the nodes in a column; a node without links is one of its own."""
+    at = found.select(F.col("node").alias("__node"), F.col("component").alias("__comp"))
+    return rows.join(at, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__comp", node)).drop("__node", "__comp")
 
 
-def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of sets that met the same pivot and may link while the pivot links not both.
+def _second_pairs(members: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of ``members`` (a, b, nb, comp) of one pivot and different components that may link.
 
     Let ``D`` be what a set and the pivot do not share.  Two sets differ in ``|Dx| + |Dy| - 2 |Dx & Dy|``
     n-grams.  If they are within the threshold with ``Dx`` and ``Dy`` disjoint, both link with the pivot: from
-    ``|Dx| + |Dy| <= r (|x| + |y|)`` and ``|x| <= |p| + |Dx|`` follows ``|Dy| <= r (|p| + |y|)``.  Else they share some of
-    ``D``, at least ``max(1, |Dx| - K)``; so the first they share, rarest first, is among the ``K + 1`` first of either
-    (prefix), and enough must stand behind it (position).
+    ``|Dx| + |Dy| <= r (|x| + |y|)`` and ``|x| <= |p| + |Dx|`` follows ``|Dy| <= r (|p| + |y|)``; so they are of one component
+    already.  Else they share some of ``D``, at least ``max(1, |Dx| - K)``; so the first they share, rarest first, is among
+    the ``K + 1`` first of either (prefix), and enough must stand behind it (position).
     """
-    active = star.groupBy("a").agg(F.count("*").alias("members"), F.bool_and("linked").alias("all")).filter("members > 1 and not all").select("a")
-    members = star.join(active, "a").withColumn("d", F.col("na") + F.col("nb") - 2 * F.col("both"))
     unlike = F.transform(F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga")), lambda x: F.xxhash64("a", x))
-    lists = checkpoint(_facing(members, fragments).select("a", "b", "nb", "d", "linked", unlike.alias("grams")))
-    # an n-gram that one set alone has, or only sets that link with the pivot, makes no pair: it comes first in the order and need only be counted
-    useful = lists.select(F.explode("grams").alias("gram"), "linked").groupBy("gram").agg(F.count("*").alias("df"), F.bool_and("linked").alias("all"))
-    useful = checkpoint(useful.filter("df > 1 and not all").select("gram", F.least(F.floor(F.log2("df") / 2), F.lit(PLANES)).cast("int").alias("plane")))
+    lists = checkpoint(_facing(members, fragments).select("a", "b", "nb", "comp", unlike.alias("grams")))
+    # an n-gram that only sets of one component have makes no pair: it comes first in the order and need only be counted
+    useful = lists.select(F.explode("grams").alias("gram"), "comp").groupBy("gram").agg(F.count("*").alias("df"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    useful = checkpoint(useful.filter("low < high").select("gram", F.least(F.floor(F.log2("df") / 2), F.lit(PLANES)).cast("int").alias("plane")))
     above = useful.filter("plane > 0").select("gram", F.explode(F.sequence(F.lit(0), F.col("plane") - 1)).alias("plane"))
     planes = bit_planes(above, "gram", "plane", PLANES, PLANE_BITS)
     # at most COUNT_FRAGMENTS rows of a pair are put together, never more than its difference set
-    whole = _useful_grams(lists, bit_filter(useful, "gram")).groupBy("a", "b", "nb", "d", "linked").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    whole = _useful_grams(lists, bit_filter(useful, "gram")).groupBy("a", "b", "nb", "comp").agg(F.sum("d").alias("d"), F.flatten(F.collect_list("grams")).alias("grams"))
     first = checkpoint(_prefixes(whole, planes, percent))
-    other = first.select("a", "gram", *[F.col(c).alias(f"{c}_") for c in ("b", "nb", "d", "linked", "i")])
+    other = first.select("a", "gram", *[F.col(c).alias(f"{c}_") for c in ("b", "nb", "d", "comp", "i")])
     total = F.col("nb") + F.col("nb_")
     left = F.col("d") + F.col("d_") - 2 * (1 + F.least(F.col("d") - F.col("i"), F.col("d_") - F.col("i_")))
     due = (
         (F.col("b") < F.col("b_"))
-        & ~(F.col("linked") & F.col("linked_"))
+        & (F.col("comp") != F.col("comp_"))
         & (F.least("nb", "nb_") * 100 >= F.greatest("nb", "nb_") * percent)
         & (left * (100 + percent) <= total * (100 - percent))
     )
@@ -297,6 +313,41 @@ def _second_pairs(star: DataFrame, fragments: DataFrame, percent: int) -> DataFr
     return met.select(F.col("b").alias("a"), F.col("b_").alias("b"), F.col("nb").alias("na"), F.col("nb_").alias("nb")).distinct()
 
 
+def _joined(found: DataFrame, told: DataFrame) -> DataFrame:
+    """Components once the linked pairs of ``told`` are links too."""
+    links = checkpoint(told.filter("linked").select("a", "b"))
+    return found if links.isEmpty() else connected_components(links.union(found.select("node", "component")))
+
+
+def _linked_groups(docs: DataFrame, classes: DataFrame, hits: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes that link with another; ``hits`` has (key, node, n, weight), ``classes`` (node, doc_id).
+
+    Links are checked in three rounds, and each leaves out the pairs that the rounds before have connected already.
+    """
+    # the set that shares most fragments with others stands nearest to the middle of its group
+    pivots = hits.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    met = hits.join(pivots, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    star = checkpoint(met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("keys")))
+    reps = star.select(F.col("a").alias("node")).union(star.select("b")).distinct().join(classes, "node").select("node", "doc_id")
+    fragments = checkpoint(_fragments(docs, checkpoint(reps), size))
+
+    # 1: each set with the pivot that it shares most keys with
+    best = star.groupBy("b").agg(F.max(F.struct("keys", "a", "na", "nb")).alias("t")).select("t.a", "b", "t.na", "t.nb")
+    told = checkpoint(_overlaps(best, fragments, percent).select("a", "b", "linked"))
+    found = connected_components(told.filter("linked"))
+
+    # 2: with its other pivots
+    rest = star.join(told, ["a", "b"], "left_anti")
+    rest = _component_of(_component_of(rest, found, "a", "ca"), found, "b", "cb").filter("ca <> cb").select("a", "b", "na", "nb")
+    found = _joined(found, _overlaps(rest, fragments, percent))
+
+    # 3: the members of a key that are of different components, with each other
+    placed = _component_of(met, found, "b", "comp")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    members = checkpoint(placed.join(open_keys, "key").select("a", "b", "na", "nb", "comp").distinct())
+    return _joined(found, _overlaps(_second_pairs(members, fragments, percent), fragments, percent))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and node of every row of ``docs`` (doc_id, text).
 
@@ -307,25 +358,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     ordered after all others and stay null when a component has no other.  Repeated rows link with each other.
     Extra columns are ignored.  An empty table gives an empty result.
     """
-    sketched = checkpoint(sketches(docs, size, percent))
+    sketched = checkpoint(sketches(docs, size))
     classes = checkpoint(sketched.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")))
 
-    one_each = _one_of_each(sketched, bit_filter(classes.select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("x")), "x"))
-    common = checkpoint(one_each.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"))
-    hits = _matching(sketched, bit_filter(common, "key")).join(common, "key", "left_semi").distinct()
-    enough = hits.groupBy("node", "level", "need").agg(F.count("*").alias("weight")).filter("weight >= need")
-    hits = checkpoint(hits.join(enough, ["node", "level", "need"]).select("key", "node", "n", "weight"))
-
-    reps = hits.select("node").distinct().join(classes, "node").select("node", "doc_id")
-    fragments = checkpoint(_fragments(docs, checkpoint(reps), size))
-
-    # the set that shares most fragments with others stands nearest to the middle of its group
-    pivots = hits.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-    star = hits.join(pivots, "key").filter("node <> a").select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).distinct()
-    star = checkpoint(_overlaps(star, fragments, percent))
-    second = _overlaps(_second_pairs(star, fragments, percent), fragments, percent)
-    links = star.filter("linked").select("a", "b").union(second.filter("linked").select("a", "b"))
-    found = connected_components(links)
+    one_each = bit_filter(classes.select(F.coalesce("doc_id", F.lit(0)).bitwiseXOR(F.col("node")).alias("x")), "x")
+    common = checkpoint(_all_keys(docs, size, percent, one_each).groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"))
+    hits = _matching(docs, size, percent, one_each, bit_filter(common, "key")).join(common, "key").distinct()
+    # of a set's keys that others have, linked sets share ``need``: so they share one of its first in an order that holds for all, rarest first
+    own = W.partitionBy("node", "level", "need")
+    hits = hits.withColumns({"weight": F.count("*").over(own), "place": F.row_number().over(own.orderBy("sets", "key"))})
+    hits = checkpoint(hits.filter("place <= weight - need + 1").select("key", "node", "n", "weight"))
+    found = _linked_groups(docs, classes, hits, size, percent)
 
     nodes = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -348,7 +391,8 @@ def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     told = jaccard_components(docs, size, percent)
     gone = told.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("node").alias("gone_node")).distinct()
     gone = checkpoint(gone)
-    may_go = may_be_in(gone, "gone")("doc_id")
-    doubtful = docs.filter(may_go).withColumn("__node", _nodes(size)("text"))
+    bits = bit_filter(gone, "gone")
+    may_go = may_be_in(docs, bits)("doc_id")
+    doubtful = docs.withColumn("__node", _nodes(docs, size, bits)("doc_id", "text")).filter("__node IS NOT NULL")
     same = (F.col("doc_id") == F.col("gone")) & (F.col("__node") == F.col("gone_node"))
     return docs.filter(~may_go).union(doubtful.join(gone, same, "left_anti").select(*docs.columns))

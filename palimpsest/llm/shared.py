@@ -15,22 +15,33 @@ from pyspark.sql import functions as F
 FILTER_BITS = 26
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's ``spark.checkpoint.dir``; sets a folder only where there is none, as in tests."""
+    """Uses the cluster's ``spark.checkpoint.dir``; a folder of this machine only where driver and executors are one process, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, which outlives lost executors.
 
-    Nothing refers any longer to what earlier steps shuffled; Spark deletes such files once the driver's heap is
-    collected, which is asked for here and not left to chance, so that they do not fill the executors' disks.
+    What was shuffled for it goes once it is written: the plan is made anew under the setting that has Spark remove a query's shuffle
+    files when it ends.  Older checkpoints go when nothing refers to them and the driver's heap is collected, which is asked for here.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def bit_planes(keys: DataFrame, key: str, plane: str | Column, planes: int, bits: int = FILTER_BITS) -> list[np.ndarray]:
@@ -58,9 +69,9 @@ def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def may_be_in(ids: DataFrame, key: str) -> Callable[[str], Column]:
-    """A test of a column of longs against the ids of ``ids``: false only for ids that are not there, so that the others alone need a join."""
-    shared = ids.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.coalesce(key, F.lit(0)).alias("x")), "x"))
+def may_be_in(docs: DataFrame, bits: np.ndarray) -> Callable[[str], Column]:
+    """A test of a column of longs against a bit filter of ids: false only for ids that are not there, so that the others alone need a join; null is 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def may(x: pd.Series) -> pd.Series:
