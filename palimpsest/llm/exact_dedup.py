@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.shared import bit_filter, checkpoint, passes
+from palimpsest.llm.shared import bit_filter, checkpoint, may_be_in, passes
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1540483477, 1013904223)
@@ -87,16 +87,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, mark bigint, size bigint, sha string")
 
 
-def _chunks(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(mark, size, doc_id, sha, part, chunk) of the texts whose fingerprint others share."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(groups, "mark"))
+def _chunks(docs: DataFrame, wanted: np.ndarray, by_id: bool) -> DataFrame:
+    """(mark, size, doc_id, sha, part, chunk) of the texts that a bit filter of fingerprints, or of fingerprints mixed with ids, lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
             out: dict[str, list] = {k: [] for k in ("mark", "size", "row", "sha", "part", "chunk")}
+            ids = batch.column(0).fill_null(0).to_numpy()
             for row, data in enumerate(_texts(batch)):
                 mark = fingerprint(data)
-                if not passes(shared.value, np.array([_key(mark)]))[0]:
+                if not passes(shared.value, np.array([_key(mark) ^ int(ids[row]) if by_id else _key(mark)], np.int64))[0]:
                     continue
                 sha = hashlib.sha256(data).hexdigest()
                 for part, at in enumerate(range(0, max(1, len(data)), COMPARE_CHUNK)):
@@ -109,6 +110,22 @@ def _chunks(docs: DataFrame, groups: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "mark bigint, size bigint, doc_id bigint, sha string, part int, chunk binary")
 
 
+def _unlike(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(mark, size, doc_id, sha) of the texts that differ in a chunk from the first text with their fingerprint.
+
+    The first texts' chunks are written down, one row for each chunk, so both sides of the comparison are plain shuffles by chunk, and
+    adaptive execution deals the copies of a large group over many tasks.  Only what differs goes on from there.
+    """
+    first = groups.select("mark", "size", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"))
+    who = F.col("mark").bitwiseXOR(F.coalesce("first_id", F.lit(0).cast("long")))
+    mine = _chunks(docs, bit_filter(first.select(who.alias("x")), "x"), by_id=True)
+    on = ["mark", "size"]
+    mine = mine.join(first, on).filter(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha") == F.col("first_sha")))
+    mine = checkpoint(mine.dropDuplicates([*on, "part"]).select(*on, "part", F.col("chunk").alias("first_chunk")))
+    every = _chunks(docs, bit_filter(groups, "mark"), by_id=False)
+    return every.join(mine, [*on, "part"]).filter("chunk <> first_chunk").select(*on, "doc_id", "sha").distinct()
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 for every row of ``docs`` (doc_id, text).
 
@@ -119,37 +136,34 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Rows that share a fingerprint are compared with the row that stays, chunk by chunk.  A text that
     shares a fingerprint but differs in a chunk is grouped by its SHA-256 instead.
     """
-    rows = fingerprints(docs).withColumn("uid", F.monotonically_increasing_id())
-    rows = checkpoint(rows)  # uid must not be made anew
+    rows = checkpoint(fingerprints(docs).withColumns({"uid": F.monotonically_increasing_id(), "own": F.lit("")}))  # uid must not be made anew
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid", "sha")
-    groups = rows.groupBy("mark", "size").agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    groups = checkpoint(groups.select("mark", "size", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha")))
-
-    chunks = _chunks(docs, groups)
-    mine = (chunks["doc_id"].eqNullSafe(groups["first_id"])) & (chunks["sha"] == groups["first_sha"])
-    kept = chunks.join(groups, ["mark", "size"]).filter(mine).dropDuplicates(["mark", "size", "part"])
-    kept = kept.select("mark", "size", "part", F.col("chunk").alias("first_chunk"))
-    compared = chunks.join(kept, ["mark", "size", "part"])
-    same = compared.groupBy("mark", "size", F.col("doc_id").alias("id_"), F.col("sha").alias("sha_")).agg(F.bool_and(F.col("chunk") == F.col("first_chunk")).alias("same"))
-    odd = same.filter("not same").withColumnsRenamed({"mark": "mark_", "size": "size_"})
-    on = (F.col("mark") == F.col("mark_")) & (F.col("size") == F.col("size_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_"))
-    told = rows.join(odd, on, "left").withColumn("own", F.when(F.col("same").isNull(), "").otherwise(F.col("sha")))
-
     key = ["mark", "size", "own"]
-    found = told.groupBy(*key).agg(F.min(rank).alias("first"), F.count("*").alias("group_size"))
-    return told.join(found, key).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        (F.col("uid") == F.col("first.uid")).alias("kept"), F.col("sha").alias("text_sha256"),
+    several = lambda df: checkpoint(df.groupBy(*key).agg(F.min(rank).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    groups = several(rows)
+    odd = checkpoint(_unlike(docs, groups))
+    if not odd.isEmpty():  # texts with one fingerprint that differ
+        odd = odd.select(F.col("mark").alias("mark_"), F.col("size").alias("size_"), F.col("doc_id").alias("id_"), F.col("sha").alias("sha_"))
+        on = (F.col("mark") == F.col("mark_")) & (F.col("size") == F.col("size_")) & F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("sha") == F.col("sha_"))
+        rows = rows.join(odd, on, "left").withColumn("own", F.when(F.col("sha_").isNull(), "").otherwise(F.col("sha"))).drop(*odd.columns)
+        groups = several(rows)
+    # both sides are written down, so a large group can be dealt over many tasks
+    return rows.join(groups, key, "left").select(
+        "doc_id", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("uid") == F.col("first.uid"), F.lit(True)).alias("kept"), F.col("sha").alias("text_sha256"),
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
 
-    The rows that go are taken out by id, so repeated rows with the id of a row that stays all stay.
+    The rows that go are taken out by id, so repeated rows with the id of a row that stays all stay.  Rows whose id
+    is not among those that go, by a bit filter, are not moved.
     """
-    told = exact_duplicates(docs)
-    gone = told.filter("not kept").select("doc_id").distinct()
-    stay = told.filter("kept").select("doc_id").distinct()
-    drop = checkpoint(gone.join(stay, gone["doc_id"].eqNullSafe(stay["doc_id"]), "left_anti"))
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
+    told = checkpoint(exact_duplicates(docs).select("doc_id", "kept"))
+    by_id = told.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    drop = checkpoint(by_id.filter("not kept").select(F.col("doc_id").alias("gone")))
+    may_go = may_be_in(docs, bit_filter(drop.select(F.coalesce("gone", F.lit(0).cast("long")).alias("x")), "x"))("doc_id")
+    doubtful = docs.filter(may_go)
+    return docs.filter(~may_go).union(doubtful.join(drop, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))

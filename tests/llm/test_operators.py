@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.llm import exact_dedup, jaccard_join, language_id, language_model, license_scan, packing, quality_model, quality_rules, queries, sentencepiece_unigram, toxicity
 from palimpsest.llm import kernels as K
@@ -40,8 +41,6 @@ def labels(spark):
 
 
 def operators(docs, labels):
-    from pyspark.sql import functions as F
-
     yes, keep = F.lit(True), {"doc_id": F.col("doc_id")}
     return {
         "license": lambda: license_scan.scan(docs),
@@ -69,6 +68,33 @@ def test_empty_tables(odd, labels, name):
     assert operators(odd.limit(0), labels.limit(0))[name]().collect() == []
 
 
+STAGE_HELPERS = {
+    "quality_rules": lambda docs, labels: quality_rules.keep_good(docs),
+    "toxicity": lambda docs, labels: toxicity.keep_clean(docs, labels, F.lit(True)),
+    "exact_dedup": lambda docs, labels: exact_dedup.keep_first(docs),
+    "jaccard_join": lambda docs, labels: jaccard_join.keep_first(docs),
+}
+
+
+@pytest.mark.parametrize("name", STAGE_HELPERS)
+def test_stage_helpers_on_odd_and_empty_tables(odd, labels, name):
+    """All columns stay, clashing names too; rows are rows of the input; an empty table gives an empty one."""
+    out = STAGE_HELPERS[name](odd, labels)
+    rows = Counter(tuple(r) for r in out.collect())
+    assert out.columns == odd.columns and rows and not rows - Counter(tuple(r) for r in odd.collect())
+    empty = STAGE_HELPERS[name](odd.limit(0), labels.limit(0))
+    assert empty.columns == odd.columns and empty.collect() == []
+    left = {(r.doc_id, r.text) for r in out.collect()}
+    if name == "exact_dedup":
+        assert left == {(1, None), (4, "one"), (5, BASE), (7, BASE + " end"), *[x for x in ODD if x[0] in (3, 8, 9, 10, 12)]}
+    if name == "jaccard_join":
+        assert {(5, BASE), (None, None), (1, None), (2, "")} <= left and not left & {(6, BASE), (7, BASE + " end")}
+
+
+def test_packing_an_empty_table(odd):
+    assert packing.pack(odd.limit(0), BPE).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     mine, theirs = both(spark, queries.QUERIES[name], ORACLES[name])
@@ -132,7 +158,45 @@ def test_fingerprints_combine(x, y, z):
     assert exact_dedup.combine(f(x), exact_dedup.combine(f(y), f(z))) == exact_dedup.combine(exact_dedup.combine(f(x), f(y)), f(z)) == f(x + y + z)
 
 
-def test_dedup_when_fingerprints_collide(spark, monkeypatch, odd):
+def colliding_texts():
+    """Two different texts of one length with equal fingerprints: blocks that collide under the first prime, then a choice of blocks that does under the second."""
+    rng, (p, q), (b, c) = np.random.default_rng(3), exact_dedup.PRIMES, exact_dedup.BASES
+    blocks = np.unique(rng.integers(97, 123, (400_000, 8)), axis=0).astype(np.int64)
+    value = lambda base, prime: sum(((blocks[:, i] + 1) * pow(base, 7 - i, prime)) % prime for i in range(8)) % prime
+    h, other = value(b, p), value(c, q)
+    order = np.argsort(h, kind="stable")
+    at = np.flatnonzero(np.diff(h[order]) == 0)[:21]
+    pairs = [(order[i], order[i + 1]) for i in at]
+    sums = np.zeros(1, np.int64)
+    for k, (x, y) in enumerate(pairs):
+        step = int(other[y] - other[x]) * pow(c, 8 * (len(pairs) - 1 - k), q) % q
+        sums = np.concatenate((sums, (sums + step) % q))
+    rank = np.argsort(sums, kind="stable")
+    same = np.flatnonzero(np.diff(sums[rank]) == 0)
+    text = lambda pick: "".join(bytes(blocks[pair[int(pick) >> k & 1]].astype(np.uint8)).decode() for k, pair in enumerate(pairs))
+    return text(rank[same[0]]), text(rank[same[0] + 1])
+
+
+def test_dedup_when_fingerprints_collide(spark):
+    x, y = colliding_texts()
+    f = lambda t: exact_dedup.fingerprint(np.frombuffer(t.encode(), np.uint8))
+    assert x != y and f(x) == f(y)
+    rows = [(1, y), (2, x), (3, x), (4, y), (5, x + " more"), (None, x), (7, y.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs).collect()}
+    assert got == {1: (1, 2, True), 2: (2, 3, True), 3: (2, 3, False), 4: (1, 2, False), 5: (5, 1, True), None: (2, 3, False), 7: (7, 1, True)}
+    assert {r.doc_id for r in exact_dedup.keep_first(docs).collect()} == {1, 2, 5, 7}
+
+
+def test_dedup_of_texts_of_many_chunks(spark):
+    """Texts longer than a slice, equal but for white space, or different in their last byte only."""
+    long = "lorem ipsum dolor " * 150_000
+    rows = [(3, long + "x"), (1, long.replace(" ", "\t\n") + "x"), (2, long + "y"), (4, "x")]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(long) > K.SLICE_BYTES and got == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1)}
+
+
+def test_dedup_on_odd_rows(odd):
     rows = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_duplicates(odd).collect()}
     sha = hashlib.sha256(BASE.encode()).hexdigest()
     assert rows[11, sha].keep_id == rows[None, sha].keep_id == 5 and rows[5, sha].group_size == 5 and rows[5, sha].kept
