@@ -26,14 +26,21 @@ def target_bytes(level: int) -> int:
     return LEVEL_1_TARGET * LEVEL_MULTIPLIER ** (level - 1)
 
 
-def mark_retained(log: DataFrame, oldest: int, base: Column | bool = True) -> DataFrame:
-    """``log`` with ``retained``: newer than the oldest snapshot, or its key's newest of the rest; there a tombstone goes where ``base`` (nothing deeper has the key) holds.
+def _with_boundary(log: DataFrame, oldest: int) -> DataFrame:
+    """``log`` with ``__boundary``: whether a version is its key's newest at or below the oldest snapshot; null above it.
 
-    The boundary sequence of a key is a window maximum over the key's versions: one shuffle.
+    The boundary sequence of each key is a partial maximum joined back, so no task sorts all versions of a hot key and a skewed key is split.
     """
-    boundary = F.max(F.when(F.col("seq") <= oldest, F.col("seq"))).over(W.partitionBy("k"))
-    at_boundary = (F.col("seq") == boundary) & ~((F.col("op") == TOMBSTONE) & (F.lit(base) if isinstance(base, bool) else base))
-    return log.withColumn("retained", (F.col("seq") > oldest) | F.coalesce(at_boundary, F.lit(False)))
+    top = log.filter(F.col("seq") <= oldest).groupBy("k").agg(F.max("seq").alias("__top")).withColumnRenamed("k", "__k")
+    at = F.when(F.col("seq") <= oldest, F.col("seq") == F.col("__top"))
+    return log.join(top, F.col("k") == F.col("__k"), "left").withColumn("__boundary", at).drop("__k", "__top")
+
+
+def mark_retained(log: DataFrame, oldest: int, base: Column | bool = True) -> DataFrame:
+    """``log`` with ``retained``: newer than the oldest snapshot, or its key's newest of the rest; there a tombstone goes where ``base`` (nothing deeper has the key) holds."""
+    goes = (F.col("op") == TOMBSTONE) & (F.lit(base) if isinstance(base, bool) else base)
+    marked = _with_boundary(log, oldest)
+    return marked.withColumn("retained", F.col("__boundary").isNull() | (F.col("__boundary") & ~goes)).drop("__boundary")
 
 
 def retain(log: DataFrame, oldest: int, base: Column | bool = True) -> DataFrame:
@@ -42,20 +49,43 @@ def retain(log: DataFrame, oldest: int, base: Column | bool = True) -> DataFrame
 
 
 def drop_counts(log: DataFrame, oldest: int, base: Column | bool = True) -> DataFrame:
-    """How many versions compaction keeps and drops, and how many of these are tombstones."""
-    kept, n = F.col("retained"), lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
-    return mark_retained(log, oldest, base).agg(n(kept).alias("kept"), n(~kept).alias("dropped"), n(~kept & (F.col("op") == TOMBSTONE)).alias("dropped_tombstones"))
+    """How many versions compaction keeps; how many it drops behind a newer one (``dropped_versions``, old tombstones too), and how many tombstones that are a key's boundary."""
+    goes = (F.col("op") == TOMBSTONE) & (F.lit(base) if isinstance(base, bool) else base)
+    kept, n = F.col("__boundary").isNull() | (F.col("__boundary") & ~goes), lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    behind = F.coalesce(~F.col("__boundary"), F.lit(False))
+    tombs = F.coalesce(F.col("__boundary"), F.lit(False)) & goes
+    return _with_boundary(log, oldest).agg(n(kept).alias("kept"), n(behind).alias("dropped_versions"), n(tombs).alias("dropped_tombstones"))
+
+
+def _place(key: Column, kind: str) -> Column:
+    """A number that never falls as keys rise: numbers themselves, else the first seven bytes."""
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("double")
+    return key.cast("double")
 
 
 def base_level(keys: DataFrame, manifest: DataFrame, output_level: int) -> DataFrame:
     """``keys`` (k) with ``base``: no file of a level below the output covers the key.
 
-    A manifest is metadata, a row for each file; below Spark's own broadcast limit it is sent to the tasks.
+    The key space is cut into as many ranges as there are files.  Within a range the files' spans are merged to disjoint ones, so each
+    key meets its range's spans by an equal join and at most one of them; only one row of bounds comes to the driver.
     """
-    deeper = manifest.filter(F.col("level") > output_level).select("lo", "hi")
-    inside = (F.col("k") >= F.col("lo")) & (F.col("k") <= F.col("hi"))
-    free = keys.join(deeper, inside, "left_anti").withColumn("base", F.lit(True))
-    return free.unionByName(keys.join(deeper, inside, "left_semi").withColumn("base", F.lit(False)))
+    kind = dict(keys.dtypes)["k"]
+    deeper = manifest.filter(F.col("level") > output_level).select("lo", "hi", _place(F.col("lo"), kind).alias("a"), _place(F.col("hi"), kind).alias("z"))
+    low, high, files = deeper.agg(F.min("a"), F.max("z"), F.count("*")).first()
+    if not files:
+        return keys.withColumn("base", F.lit(True))
+    width = max((high - low) / files, 1e-9)
+    cell = lambda x: F.floor((x - F.lit(low)) / F.lit(width)).cast("long")
+    spread = deeper.withColumn("__cell", F.explode(F.sequence(cell(F.col("a")), cell(F.col("z")))))
+    w = W.partitionBy("__cell").orderBy("lo", "hi")
+    reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
+    head = spread.withColumn("__head", F.when(reach.isNull() | (F.col("lo") > reach), F.col("lo")))
+    spans = head.withColumn("__lo", F.last("__head", ignorenulls=True).over(w)).groupBy("__cell", "__lo").agg(F.max("hi").alias("__hi"))
+    spans = spans.withColumnRenamed("__cell", "__at")
+    found = keys.withColumn("__cell", cell(_place(F.col("k"), kind)))
+    inside = (F.col("__cell") == F.col("__at")) & (F.col("k") >= F.col("__lo")) & (F.col("k") <= F.col("__hi"))
+    return found.join(spans, inside, "left").withColumn("base", F.col("__at").isNull()).drop("__cell", "__at", "__lo", "__hi")
 
 
 def overlaps(manifest: DataFrame, smallest: object, largest: object, level: int) -> DataFrame:
@@ -95,29 +125,33 @@ def closure(manifest: DataFrame, level: int, smallest: object, largest: object)
 
 
 def dedup(log: DataFrame) -> DataFrame:
-    """Equal versions as one; ``conflict`` where one identity has different values, which is corruption."""
-    values = F.count_distinct(F.struct(F.col("v").isNull().alias("n"), "v"))
-    return log.groupBy("k", "seq", "op").agg(F.min("v").alias("v"), (values > 1).alias("conflict"))
+    """Equal versions as one; ``conflict`` where one identity has different values, which is corruption.  One shuffle of partial results."""
+    mixed = (F.min("v") != F.max("v")) | ((F.count("v") > 0) & (F.count("v") < F.count("*")))
+    return log.groupBy("k", "seq", "op").agg(F.min("v").alias("v"), F.coalesce(mixed, F.lit(False)).alias("conflict"))
 
 
 def cut_outputs(log: DataFrame, target: int, size: Column, partition: Column) -> DataFrame:
     """``log`` with ``file``: entries in key order, cut where a file would pass ``target`` and the key changes.
 
-    The cut is greedy, so it runs in order, in pandas, within each ``partition`` of the keyspace (a range of keys): memory is that of one range.
-    A key's versions are never parted.
+    The cut is greedy, so it runs in order within each ``partition`` of the keyspace (a range of keys): memory is that of one range.
+    ``size`` is that of key and value.  A key's versions are never parted.  Each cut is found by a binary search over running sizes of keys.
     """
     schema = log.withColumns({"part": partition, "file": F.lit(0).cast("long")}).schema
     columns = schema.names
 
     def run(pdf):
+        import numpy as np
+
         pdf = pdf.sort_values(["k", "seq"], ascending=[True, False], kind="stable")
-        file, used, before, out = 0, 0, None, []
-        for k, n in zip(pdf["k"], pdf["__size"]):
-            if used and used + n > target and k != before:
-                file, used = file + 1, 0
-            out.append(file)
-            used, before = used + n, k
-        return pdf.assign(file=out)[columns]
+        sizes = pdf["__size"].to_numpy()
+        heads = np.flatnonzero((pdf["k"] != pdf["k"].shift()).to_numpy())
+        before = np.cumsum(sizes) - sizes
+        begin, with_first = before[heads], before[heads] + sizes[heads]  # both rise from key to key
+        file, at = np.zeros(len(heads), np.int64), 0
+        while (cut := max(at + 1, int(np.searchsorted(with_first, begin[at] + target, "right")))) < len(heads):
+            file[cut:] += 1
+            at = cut
+        return pdf.assign(file=np.repeat(file, np.diff(np.append(heads, len(pdf)))))[columns]
 
     sized = log.withColumns({"part": partition, "__size": size.cast("long") + ENTRY_OVERHEAD})
     return sized.groupBy("part").applyInPandas(run, schema)

@@ -54,8 +54,8 @@ def salvage(log: DataFrame, history: bool = False) -> DataFrame:
     return resolve.newest(once)
 
 
-def workbench_rows(rows: DataFrame, key: str = "k", value: str = "v") -> DataFrame:
-    """Rows for display: metadata rows go; key text, its group and field, and bytes of the value."""
-    marked = F.substring(F.col(key).cast("binary"), 1, len(K.METADATA_PREFIX)) == F.lit(bytearray(K.METADATA_PREFIX))
+def workbench_rows(rows: DataFrame, metadata_prefix: bytes, key: str = "k", value: str = "v") -> DataFrame:
+    """Rows for display: rows whose key begins with ``metadata_prefix`` go; key text, its group and field, and bytes of the value."""
+    marked = F.substring(F.col(key).cast("binary"), 1, len(metadata_prefix)) == F.lit(bytearray(metadata_prefix))
     shown = rows.filter(~marked).withColumn("display", K.display_key(F.col(key).cast("binary")))
     return shown.withColumns({"group": K.key_group(F.col("display")), "field": K.key_field(F.col("display")), "value_bytes": F.octet_length(F.col(value))})

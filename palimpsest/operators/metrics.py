@@ -11,18 +11,19 @@ OPERATIONS = ("PUT", "DELETE", "GET", "SCAN", "SNAPSHOT", "WRITE")
 RECENT = 16_384
 
 
-def summary(samples: DataFrame, operations: tuple[str, ...] = OPERATIONS, seconds: float = 1.0) -> DataFrame:
-    """Per operation (op, latency, failed): count, errors, rate, mean, least, p50, p95, p99 and most; all 0 where unused.
+def summary(samples: DataFrame, operations: tuple[str, ...] = OPERATIONS, seconds: float = 1.0, last: int = RECENT, part: int = 1 << 20) -> DataFrame:
+    """Per operation (op, latency, failed, ordinal): count, errors, rate, mean, least and most of all samples, p50, p95, p99 of its ``last`` ones; all 0 where unused.
 
-    ``percentile_disc`` is the nearest rank; Spark merges its value counts map-side.
+    ``percentile_disc`` is the nearest rank; it sees the bounded recent samples only.
     """
     q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY latency)")
     got = samples.groupBy("op").agg(
         F.count("*").alias("count"), F.sum(F.col("failed").cast("long")).alias("errors"),
-        F.avg("latency").alias("mean"), F.min("latency").alias("least"), q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.max("latency").alias("most"),
+        F.avg("latency").alias("mean"), F.min("latency").alias("least"), F.max("latency").alias("most"),
     )
+    ranks = recent(samples, last, part=part).groupBy("op").agg(q(0.5).alias("p50"), q(0.95).alias("p95"), q(0.99).alias("p99"))
     every = samples.sparkSession.createDataFrame([(x,) for x in operations], "op string")
-    out = every.join(got, "op", "left").fillna(0)
+    out = every.join(got, "op", "left").join(ranks, "op", "left").fillna(0)
     return out.withColumn("per_second", F.col("count") / F.lit(seconds))
 
 

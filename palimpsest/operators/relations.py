@@ -12,8 +12,10 @@ def where_sorted(rows: DataFrame, column: str, value: object, by: str) -> DataFr
 
 
 def lookup(edges: DataFrame, source: str, rows: DataFrame, key: str) -> DataFrame:
-    """Rows that edges point to, one for each edge; ``dangling`` tells edges that point nowhere."""
-    return edges.join(rows, edges[source] == rows[key])
+    """Rows that edges point to, one for each edge; an edge that points nowhere raises when it is read (``dangling`` lists them)."""
+    joined = edges.join(rows, edges[source] == rows[key], "left")
+    absent = F.raise_error(F.concat(F.lit("no row for "), edges[source].cast("string"))).cast("boolean")
+    return joined.filter(F.when(rows[key].isNull(), absent).otherwise(F.lit(True)))
 
 
 def dangling(edges: DataFrame, source: str, rows: DataFrame, key: str) -> DataFrame:

@@ -31,6 +31,12 @@ def compatibility(older: DataFrame, newer: DataFrame) -> DataFrame:
     return a.join(b, "field_id", "full").select("field_id", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def upgrade_problems(older: DataFrame, newer: DataFrame, versions: tuple[int, int], identities: tuple[str, str] = ("", "")) -> DataFrame:
+    """``compatibility`` with the rules of the schema as a whole, shown as field 0: its identity stays, its version rises."""
+    whole = [(0, "IDENTITY_CHANGED")] * (identities[0] != identities[1]) + [(0, "VERSION_NOT_INCREASED")] * (versions[1] <= versions[0])
+    return compatibility(older, newer).union(older.sparkSession.createDataFrame(whole, "field_id int, problem string"))
+
+
 def field(field_id: int, name: str, kind: T.DataType, optional: bool = False, **more: object) -> T.StructField:
     """A Spark field that carries its stable id."""
     if field_id < FIRST_FIELD_ID:
@@ -69,10 +75,11 @@ def minimum_writer(rows: DataFrame, by: str = "collection") -> DataFrame:
     return rows.groupBy(by).agg(F.max("schema_version").alias("minimum_writer_version"))
 
 
-def register(registry: DataFrame, request: DataFrame) -> DataFrame:
+def register(registry: DataFrame, request: DataFrame, incompatible: DataFrame | None = None) -> DataFrame:
     """Requests (collection_id, key_codec, schema_id, fingerprint, schema_version) with CREATED, UNCHANGED, UPGRADE or CONFLICT.
 
-    One id keeps its key codec and schema; one version keeps its fingerprint; an older version is a conflict.
+    One id keeps its key codec and schema; one version keeps its fingerprint; an older version is a conflict, and so is an upgrade
+    of a collection in ``incompatible`` (collection_id), whose fields ``compatibility`` refuses.
     """
     old = registry.select("collection_id", *[F.col(c).alias(f"o_{c}") for c in ("key_codec", "schema_id", "fingerprint", "schema_version")])
     c = F.col
@@ -82,7 +89,12 @@ def register(registry: DataFrame, request: DataFrame) -> DataFrame:
         .when(c("schema_version") > c("o_schema_version"), "UPGRADE")
         .when(c("fingerprint") != c("o_fingerprint"), "CONFLICT").otherwise("UNCHANGED")
     )
-    return request.join(old, "collection_id", "left").select(*request.columns, status.alias("status"))
+    out = request.join(old, "collection_id", "left").select(*request.columns, status.alias("status"))
+    if incompatible is None:
+        return out
+    bad = incompatible.select("collection_id", F.lit(True).alias("__bad")).distinct()
+    refused = (F.col("status") == "UPGRADE") & F.col("__bad")
+    return out.join(bad, "collection_id", "left").withColumn("status", F.when(refused, "CONFLICT").otherwise(F.col("status"))).select(out.columns)
 
 
 def define(spark, collection_id: str, name: str, ordered_keys: bool, capabilities: tuple[str, ...] = CAPABILITIES) -> DataFrame:

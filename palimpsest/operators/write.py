@@ -34,14 +34,20 @@ def batch_report(ops: DataFrame, key: str = "k", value: str = "v", batch: str =
     return out.withColumn("status", verdict).drop("__k", "__v")
 
 
-def assign_sequences(ops: DataFrame, after: int, batch: str = "batch_id", ordinal: str = "ordinal") -> DataFrame:
-    """``ops`` with contiguous sequences after ``after``, by batch, then ordinal.
+#: Batches of one range, within which they are put in order; between ranges one row of each is.
+RANGE_BATCHES = 1 << 16
 
-    Only the batches' sizes (a row each) are summed in one order; operations are numbered within their batch.
+
+def assign_sequences(ops: DataFrame, after: int, batch: str = "batch_id", ordinal: str = "ordinal", width: int = RANGE_BATCHES) -> DataFrame:
+    """``ops`` with contiguous sequences after ``after``, by batch (a whole number), then ordinal.
+
+    Batches are cut into ranges of numbers: their sizes are summed within each range side by side, and the ranges' sums, one row each, in
+    one order; operations are numbered within their batch.
     """
-    sizes = ops.groupBy(batch).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.orderBy(batch).rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select(F.col(batch).alias("__b"), F.coalesce(before, F.lit(0)).alias("__before"))
+    sizes = ops.groupBy(F.col(batch).alias("__b")).agg(F.count("*").alias("__n")).withColumn("__r", F.floor(F.col("__b") / width))
+    earlier = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("__r").agg(F.sum("__n").alias("__n")).select("__r", earlier(W.orderBy("__r")).alias("__base"))
+    starts = sizes.withColumn("__own", earlier(W.partitionBy("__r").orderBy("__b"))).join(ranges, "__r").select("__b", (F.col("__base") + F.col("__own")).alias("__before"))
     place = F.row_number().over(W.partitionBy(batch).orderBy(ordinal))
     out = ops.join(starts, F.col(batch) == F.col("__b")).withColumn("seq", F.lit(after) + F.col("__before") + place)
     return out.drop("__b", "__before")
@@ -86,9 +92,12 @@ def sequence_gaps(log: DataFrame, width: int = 1 << 20) -> DataFrame:
 
 def plan_check(batches: DataFrame) -> DataFrame:
     """Batches (batch_id, first_seq, last_seq) with whether each continues the one before and has 1 to 10,000 operations."""
-    before = F.lag("last_seq").over(W.orderBy("batch_id"))
+    cut = batches.withColumn("__r", F.floor(F.col("batch_id") / RANGE_BATCHES))
+    ends = cut.groupBy("__r").agg(F.max(F.struct("batch_id", "last_seq"))["last_seq"].alias("__end"))
+    ends = ends.select("__r", F.lag("__end").over(W.orderBy("__r")).alias("__end"))  # one row for each range
+    before = F.coalesce(F.lag("last_seq").over(W.partitionBy("__r").orderBy("batch_id")), "__end")
     n = F.col("last_seq") - F.col("first_seq") + 1
-    return batches.select("batch_id", n.alias("operations"), F.coalesce(F.col("first_seq") == before + 1, F.lit(True)).alias("contiguous"), n.between(1, MAX_OPERATIONS).alias("size_ok"))
+    return cut.join(ends, "__r").select("batch_id", n.alias("operations"), F.coalesce(F.col("first_seq") == before + 1, F.lit(True)).alias("contiguous"), n.between(1, MAX_OPERATIONS).alias("size_ok"))
 
 
 def _ratio(value: Column, start: Column, stop: Column) -> Column:
@@ -114,18 +123,18 @@ def write_pressure(inputs: DataFrame) -> DataFrame:
     way from its slow to its stop mark, from 0.1 to 10 ms.
     """
     c = F.col
-    free_at = lambda mark: F.greatest(F.lit(mark[0]), F.floor(c("total_disk") * mark[1] / 100))
+    free_at = lambda mark: F.greatest(F.lit(mark[0]), F.call_function("div", c("total_disk") * mark[1], F.lit(100)))
     slow, stop = free_at(DISK_SLOW), free_at(DISK_STOP)
     stopped = ~c("native_ok") | c("paused") | (c("disk_ok") & (c("usable_disk") < stop))
     severity = [F.when(c("disk_ok"), 1 - _ratio(c("usable_disk"), stop, slow)).otherwise(0.0)]
-    reasons = [F.when(c("failed"), "BACKGROUND_FAILURE"), F.when(c("paused"), "ADMINISTRATIVE_PAUSE")]
+    reasons = []
     for name, low, high, reason in PRESSURE_STEPS:
         stopped = stopped | (c(name) >= high)
         severity.append(_ratio(c(name), F.lit(low), F.lit(high)))
         reasons.append(F.when(c(name) >= low, reason))
         if name == "immutable_memtables":
             reasons.append(F.when(~c("native_ok"), "NATIVE_CAPACITY"))
-    reasons.append(F.when(c("disk_ok") & (c("usable_disk") < slow), "DISK_SPACE"))
+    reasons += [F.when(c("disk_ok") & (c("usable_disk") < slow), "DISK_SPACE"), F.when(c("failed"), "BACKGROUND_FAILURE"), F.when(c("paused"), "ADMINISTRATIVE_PAUSE")]
     out = inputs.withColumn("reasons", F.array_join(F.array_compact(F.array(*reasons)), ","))
     state = F.when(c("failed"), "FAILED").when(stopped, "STOPPED_RETRYABLE").when(c("reasons") == "", "NORMAL").otherwise("SLOWDOWN")
     out = out.withColumn("state", state)

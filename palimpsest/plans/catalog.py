@@ -21,7 +21,7 @@ LOG = """log AS (SELECT user_id AS k, event_id + 1 AS seq, CASE WHEN event_type
     CASE WHEN event_type = 'error' THEN NULL ELSE value END AS v FROM events)"""
 #: Files of a made-up manifest: runs of orders, several to a level.
 FILES = """mf AS (SELECT file_number, CASE WHEN file_number < 6 THEN 0 ELSE file_number % 3 + 1 END AS level, n * 40000000 AS file_size, lo, hi
-    FROM (SELECT o_orderkey // 1000 AS file_number, count(*) AS n, min(o_orderkey) - 40 AS lo, max(o_orderkey) + 40 AS hi FROM orders GROUP BY 1) x)"""
+    FROM (SELECT o_orderkey // 1000 AS file_number, count(*) AS n, min(o_orderkey) - 1040 AS lo, max(o_orderkey) + 1040 AS hi FROM orders GROUP BY 1) x)"""
 RLOG = """rl AS (SELECT conv_id AS log_id, turn AS idx, turn // 4 AS term, length(text) AS length, text FROM conversations)"""
 OLDEST = 5000
 
@@ -51,7 +51,7 @@ def log_of(spark: SparkSession, d: str) -> DataFrame:
 
 def files_of(spark: SparkSession, d: str) -> DataFrame:
     by = table(spark, d, "orders").groupBy(F.expr("o_orderkey div 1000").alias("file_number"))
-    f = by.agg(F.count("*").alias("n"), (F.min("o_orderkey") - 40).alias("lo"), (F.max("o_orderkey") + 40).alias("hi"))
+    f = by.agg(F.count("*").alias("n"), (F.min("o_orderkey") - 1040).alias("lo"), (F.max("o_orderkey") + 1040).alias("hi"))
     level = F.when(F.col("file_number") < 6, 0).otherwise(F.col("file_number") % 3 + 1).cast("int")
     return f.select("file_number", level.alias("level"), (F.col("n") * 40000000).alias("file_size"), "lo", "hi")
 
@@ -95,11 +95,9 @@ def kv_snapshot_scan(spark, d):
     return resolve.scan_all(log_of(spark, d), OLDEST)
 
 
-@query(f"WITH {LOG} SELECT k, seq, op, v, row_number() OVER (ORDER BY k) AS place FROM {_NEWEST.format(' WHERE k >= 20 AND k < 60')} AND op = 1")
+@query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE k >= 20 AND k < 60')} AND op = 1")
 def kv_scan_range(spark, d):
-    from pyspark.sql import Window
-
-    return resolve.scan(log_of(spark, d), 20, 60).withColumn("place", F.row_number().over(Window.orderBy("k")).cast("long"))
+    return resolve.scan(log_of(spark, d), 20, 60)
 
 
 @query(f"WITH {LOG} SELECT k, seq, op, v FROM {_NEWEST.format(' WHERE k >= 20 AND k < 60 AND seq <= 5000')} AND op = 1")
@@ -214,15 +212,16 @@ def gc_retain(spark, d):
     return compact.retain(log_of(spark, d), OLDEST)
 
 
-@query(f"WITH {_BOUNDARY} SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE NOT kept AND op = 2) AS dropped_tombstones FROM r")
+@query(f"WITH {_BOUNDARY} SELECT count(*) FILTER (WHERE kept) AS kept, count(*) FILTER (WHERE seq < b AND seq <= 5000) AS dropped_versions, count(*) FILTER (WHERE seq = b AND op = 2) AS dropped_tombstones FROM r")
 def gc_drop_counts(spark, d):
     return compact.drop_counts(log_of(spark, d), OLDEST)
 
 
-@query(f"WITH {LOG} SELECT k, seq, op, min(v) AS v, false AS conflict FROM log GROUP BY 1, 2, 3")
+@query(f"WITH {LOG} SELECT k, seq, op, min(v) AS v, coalesce(seq % 7 = 0 AND op = 1, false) AS conflict FROM log GROUP BY 1, 2, 3")
 def gc_dedup(spark, d):
     log = log_of(spark, d)
-    return compact.dedup(log.union(log))
+    other = log.withColumn("v", F.when(F.col("seq") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return compact.dedup(log.union(other))
 
 
 @query(f"WITH {FILES}, c AS (SELECT o_orderkey AS k FROM orders) SELECT k, NOT EXISTS (SELECT 1 FROM mf WHERE level > 1 AND k BETWEEN lo AND hi) AS base FROM c")
@@ -230,12 +229,12 @@ def gc_base_level(spark, d):
     return compact.base_level(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), files_of(spark, d), 1)
 
 
-@query(f"""WITH RECURSIVE {LOG}, e AS (SELECT k, seq, op, k // 10 AS part, 48 AS n, row_number() OVER (PARTITION BY k // 10 ORDER BY k, seq DESC) AS i FROM log),
+@query(f"""WITH RECURSIVE {LOG}, e AS (SELECT k, seq, op, k // 10 AS part, CASE WHEN op = 1 THEN 48 ELSE 40 END AS n, row_number() OVER (PARTITION BY k // 10 ORDER BY k, seq DESC) AS i FROM log),
 w AS (SELECT part, i, k, seq, op, n AS used, 0 AS file FROM e WHERE i = 1 UNION ALL SELECT e.part, e.i, e.k, e.seq, e.op,
     CASE WHEN w.used + e.n > 4096 AND e.k <> w.k THEN e.n ELSE w.used + e.n END, CASE WHEN w.used + e.n > 4096 AND e.k <> w.k THEN w.file + 1 ELSE w.file END FROM w JOIN e ON e.part = w.part AND e.i = w.i + 1)
 SELECT part, file, count(*) AS entries, min(k) AS lo, max(k) AS hi FROM w GROUP BY 1, 2""")
 def gc_output_files(spark, d):
-    cut = compact.cut_outputs(log_of(spark, d), 4096, F.lit(16), F.expr("k div 10"))
+    cut = compact.cut_outputs(log_of(spark, d), 4096, F.when(F.col("op") == 1, 16).otherwise(8), F.expr("k div 10"))
     return cut.groupBy("part", "file").agg(F.count("*").alias("entries"), F.min("k").alias("lo"), F.max("k").alias("hi"))
 
 
@@ -352,9 +351,9 @@ def rel_duplicates(spark, d):
     return relations.duplicates(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def rel_delete_guard(spark, d):
-    return relations.deletable(table(spark, d, "customer").select("c_custkey"), "c_custkey", (table(spark, d, "orders"), "o_custkey"))
+    return relations.deletable(table(spark, d, "customer").select("c_custkey"), "c_custkey", (table(spark, d, "orders").filter("o_orderstatus = 'F'"), "o_custkey"))
 
 
 @query("SELECT c_custkey, (c_custkey % 12) AS stored, coalesce(n, 0) AS actual FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_custkey % 12 <> coalesce(n, 0)")
@@ -368,17 +367,34 @@ def rel_composite_key(spark, d):
     return table(spark, d, "orders").select("o_orderkey", keys.composite_key(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("key"))
 
 
-_ENTRIES = f"""{RLOG}, en AS (SELECT log_id, idx + idx // 5 AS idx, term, 'COMMAND' AS type, idx + 1 AS seq_start, CASE WHEN idx % 7 = 3 THEN idx + 2 ELSE idx + 1 END AS seq_after FROM rl),
-p AS (SELECT *, lag(idx) OVER w AS pi, lag(term) OVER w AS pt, lag(seq_after) OVER w AS pa FROM en WINDOW w AS (PARTITION BY log_id ORDER BY idx))"""
+_HASHED = """CASE WHEN {0} IS NULL THEN 'ffffffff' ELSE lpad(printf('%x', octet_length(encode({0}))), 8, '0') || lower(hex(encode({0}))) END"""
+_FIELDS_HASHED = " || ".join(_HASHED.format(x) for x in ("cast(r.idx AS VARCHAR)", "cast(r.term AS VARCHAR)", "r.text"))
+#: The conversations as replicated logs from index 1, each chained from the hash of zeros.
+CHAIN = f"""r AS (SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, turn // 4 AS term, text FROM conversations),
+ch AS (SELECT r.log_id, r.idx, r.term, repeat('0', 64) AS previous_hash, sha256(repeat('0', 64) || {_FIELDS_HASHED}) AS entry_hash FROM r WHERE r.idx = 1
+    UNION ALL SELECT r.log_id, r.idx, r.term, ch.entry_hash, sha256(ch.entry_hash || {_FIELDS_HASHED}) FROM ch JOIN r ON r.log_id = ch.log_id AND r.idx = ch.idx + 1)"""
+
+
+def chain_of(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    rows = c.select(F.col("conv_id").alias("log_id"), place.alias("idx"), F.expr("turn div 4").alias("term"), "text")
+    return replog.append_chain(rows, "idx", "term", "text")
+
+
+_ENTRIES = f"""{CHAIN}, en AS (SELECT log_id, idx + idx // 6 AS idx, term, idx AS seq_start, CASE WHEN idx % 7 = 3 THEN idx + 1 ELSE idx END AS seq_after, CASE WHEN (log_id + idx) % 11 = 0 THEN 'x' ELSE previous_hash END AS previous_hash, entry_hash FROM ch WHERE log_id % 5 <> 0 OR idx > 1),
+p AS (SELECT *, coalesce(lag(idx) OVER w, 0) AS pi, coalesce(lag(term) OVER w, 0) AS pt, coalesce(lag(seq_after) OVER w, 0) AS pa, coalesce(lag(entry_hash) OVER w, repeat('0', 64)) AS ph FROM en WINDOW w AS (PARTITION BY log_id ORDER BY idx))"""
 
 
-@query(f"WITH {_ENTRIES} SELECT log_id, idx, CASE WHEN idx <> pi + 1 THEN 'INDEX' WHEN term < pt THEN 'TERM' ELSE 'SEQUENCE' END AS problem FROM p WHERE pi IS NOT NULL AND (idx <> pi + 1 OR term < pt OR seq_start <> pa + 1)")
+@query(f"WITH RECURSIVE {_ENTRIES} SELECT log_id, idx, CASE WHEN idx <> pi + 1 THEN 'INDEX' WHEN term < pt THEN 'TERM' WHEN previous_hash <> ph THEN 'HASH' ELSE 'SEQUENCE' END AS problem FROM p WHERE idx <> pi + 1 OR term < pt OR previous_hash <> ph OR seq_start <> pa + 1")
 def rlog_continuity(spark, d):
-    e = rlog_of(spark, d).withColumns({
-        "type": F.lit("COMMAND"), "seq_start": F.col("idx") + 1, "seq_after": F.when(F.col("idx") % 7 == 3, F.col("idx") + 2).otherwise(F.col("idx") + 1),
-        "previous_hash": F.lit("x"), "entry_hash": F.lit("x"),
+    broken = F.when((F.col("log_id") + F.col("idx")) % 11 == 0, "x").otherwise(F.col("previous_hash"))
+    e = chain_of(spark, d).filter("log_id % 5 <> 0 OR idx > 1").withColumns({
+        "type": F.lit("COMMAND"), "seq_start": F.col("idx"), "seq_after": F.when(F.col("idx") % 7 == 3, F.col("idx") + 1).otherwise(F.col("idx")), "previous_hash": broken,
     })
-    return replog.violations(e.withColumn("idx", F.expr("idx + idx div 5")))
+    return replog.violations(e.withColumn("idx", F.expr("idx + idx div 6")))
 
 
 @query(f"WITH {RLOG}, b AS (SELECT *, row_number() OVER w AS n, sum(length) OVER w AS s FROM rl WHERE idx >= 1 AND idx < 9 WINDOW w AS (PARTITION BY log_id ORDER BY idx)) SELECT log_id, idx, length FROM b WHERE n <= 4 AND (n = 1 OR s <= 600)")
@@ -391,10 +407,28 @@ def rlog_truncate(spark, d):
     return replog.truncate_suffix(rlog_of(spark, d), 3, 1, 0).select("log_id", "idx", "term")
 
 
-@query(f"WITH {RLOG} SELECT log_id, idx, sha256(lpad(cast(idx AS VARCHAR), 4, '0') || '|' || cast(term AS VARCHAR) || '|' || coalesce(text, '')) AS entry_hash FROM rl")
+@query(f"WITH RECURSIVE {CHAIN} SELECT log_id, idx, previous_hash, entry_hash FROM ch")
 def rlog_hash_chain(spark, d):
+    return chain_of(spark, d).select("log_id", "idx", "previous_hash", "entry_hash")
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx FROM (SELECT conv_id AS log_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx, text FROM conversations) x WHERE idx % 3 = 0")
+def rlog_broken_chain(spark, d):
+    forged = chain_of(spark, d).withColumn("term", F.when(F.col("idx") % 3 == 0, F.col("term") + 1).otherwise(F.col("term")))
+    return replog.broken_chain(forged, "idx", "term", "text")
+
+
+@query(f"WITH {RLOG} SELECT log_id, max(idx) AS applied_index, max_by(term, idx) AS applied_term, max_by(length, idx) AS state_sequence, max_by(log_id, idx) AS configuration FROM rl GROUP BY 1")
+def rlog_applied_state(spark, d):
+    return replog.applied_state(rlog_of(spark, d).select("log_id", F.col("idx").alias("applied_index"), F.col("term").alias("applied_term"), F.col("length").alias("state_sequence"), F.col("log_id").alias("configuration")))
+
+
+@query(f"WITH {RLOG} SELECT log_id, idx FROM rl WHERE idx <= 5 AND idx > log_id % 4")
+def rlog_unapplied(spark, d):
     r = rlog_of(spark, d)
-    return r.select("log_id", "idx", replog.entry_hash(F.lpad(F.col("idx").cast("string"), 4, "0"), F.col("term").cast("string"), F.coalesce("text", F.lit(""))).alias("entry_hash"))
+    logs = r.select("log_id").distinct()
+    applied, commit = logs.withColumn("applied_index", F.col("log_id") % 4), logs.withColumn("commit_index", F.lit(5))
+    return replog.unapplied(r, applied, commit).select("log_id", "idx")
 
 
 _VOTES = "v AS (SELECT user_id // 5 AS log_id, user_id AS voter, max(event_id) AS match FROM events GROUP BY 1, 2), q AS (SELECT log_id, match, row_number() OVER (PARTITION BY log_id ORDER BY match DESC) AS rn, count(*) OVER (PARTITION BY log_id) AS n FROM v), k AS (SELECT log_id, match AS quorum_index FROM q WHERE rn = n // 2 + 1)"
@@ -444,40 +478,46 @@ def _samples(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("op"), F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"), F.col("event_id").alias("ordinal"))
 
 
-def _summary(source: str) -> str:
-    q = ", ".join(f"quantile_disc(value, {p}) AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
-    return f"SELECT event_type AS op, count(*) AS count, count(*) FILTER (WHERE event_type = 'error') AS errors, min(value) AS least, {q}, max(value) AS most, count(*)::DOUBLE AS per_second FROM {source} GROUP BY 1"
+#: Event types of the sample tables.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
-_UNUSED = "UNION ALL SELECT 'SNAPSHOT', 0, 0, 0, 0, 0, 0, 0, 0"
+def _summary(last: int) -> str:
+    q = ", ".join(f"quantile_disc(value, {p}) FILTER (WHERE rn <= {last}) AS p{n}" for p, n in ((0.5, 50), (0.95, 95), (0.99, 99)))
+    source = "(SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) x"
+    out = f"SELECT event_type AS op, count(*) AS count, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS mean, min(value) AS least, {q}, max(value) AS most, count(*)::DOUBLE AS per_second FROM {source} GROUP BY 1"
+    return f"{out} UNION ALL SELECT 'SNAPSHOT', 0, 0, 0, 0, 0, 0, 0, 0, 0"
 
 
-@query(f"{_summary('events')} {_UNUSED}")
+@query(_summary(metrics.RECENT))
 def met_operation_summary(spark, d):
-    types = tuple(r.op for r in _samples(spark, d).select("op").distinct().collect())  # a handful of event types
-    return metrics.summary(_samples(spark, d), (*types, "SNAPSHOT")).drop("mean")
+    return metrics.summary(_samples(spark, d), (*EVENT_TYPES, "SNAPSHOT")).withColumn("mean", F.round("mean", 6))
 
 
-@query(_summary("(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events) y WHERE rn <= 500) x") + f" {_UNUSED}")
+@query(_summary(500))
 def met_recent_percentiles(spark, d):
-    types = tuple(r.op for r in _samples(spark, d).select("op").distinct().collect())
-    return metrics.summary(metrics.recent(_samples(spark, d), 500, part=1000), (*types, "SNAPSHOT")).drop("mean")
+    return metrics.summary(_samples(spark, d), (*EVENT_TYPES, "SNAPSHOT"), last=500, part=1000).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT event_type AS op, event_id AS ordinal FROM events WHERE event_id >= 1000 AND event_id < 1500")
+def met_interval(spark, d):
+    return metrics.interval(_samples(spark, d), 1000, 1500).select("op", "ordinal")
 
 
 _G = 1 << 30
 
 
-@query(f"""WITH i AS (SELECT event_id AS id, (event_id % 5)::INT AS m, event_id * 7 % 2600 * 1048576 AS wal, (event_id * 3 % 22)::INT AS l0, event_id * 11 % 9000 * 1048576 AS debt, (event_id % 40) * {_G} AS usable, 100 * {_G} AS total, event_id % 50 = 7 AS failed, event_id % 60 = 9 AS paused, event_id % 70 <> 3 AS native FROM events),
-s AS (SELECT *, failed OR false AS f, NOT native OR paused OR m >= 4 OR wal >= {2 * _G} OR l0 >= 20 OR debt >= {8 * _G} OR usable < {5 * _G} AS st,
- concat_ws(',', CASE WHEN failed THEN 'BACKGROUND_FAILURE' END, CASE WHEN paused THEN 'ADMINISTRATIVE_PAUSE' END, CASE WHEN m >= 2 THEN 'IMMUTABLE_MEMTABLES' END, CASE WHEN NOT native THEN 'NATIVE_CAPACITY' END, CASE WHEN wal >= {_G // 2} THEN 'WAL_BYTES' END, CASE WHEN l0 >= 12 THEN 'LEVEL_ZERO_FILES' END, CASE WHEN debt >= {2 * _G} THEN 'COMPACTION_DEBT' END, CASE WHEN usable < {15 * _G} THEN 'DISK_SPACE' END) AS reasons,
- greatest(0, least(1, (m - 2) / 2.0::DOUBLE), least(1, (wal - {_G // 2})::DOUBLE / {2 * _G - _G // 2}), least(1, (l0 - 12) / 8.0::DOUBLE), least(1, (debt - {2 * _G})::DOUBLE / {6 * _G}), 1 - greatest(0, least(1, (usable - {5 * _G})::DOUBLE / {10 * _G}))) AS sev FROM i)
+@query(f"""WITH i AS (SELECT event_id AS id, (event_id % 5)::INT AS m, event_id * 7 % 2600 * 1048576 AS wal, (event_id * 3 % 22)::INT AS l0, event_id * 11 % 9000 * 1048576 AS debt, (event_id % 40) * {_G} AS usable, 100 * {_G} AS total, event_id % 50 = 7 AS failed, event_id % 60 = 9 AS paused, event_id % 70 <> 3 AS native, event_id % 6 <> 1 AS dok FROM events),
+s AS (SELECT *, failed OR false AS f, NOT native OR paused OR m >= 4 OR wal >= {2 * _G} OR l0 >= 20 OR debt >= {8 * _G} OR (dok AND usable < {5 * _G}) AS st,
+ concat_ws(',', CASE WHEN m >= 2 THEN 'IMMUTABLE_MEMTABLES' END, CASE WHEN NOT native THEN 'NATIVE_CAPACITY' END, CASE WHEN wal >= {_G // 2} THEN 'WAL_BYTES' END, CASE WHEN l0 >= 12 THEN 'LEVEL_ZERO_FILES' END, CASE WHEN debt >= {2 * _G} THEN 'COMPACTION_DEBT' END, CASE WHEN dok AND usable < {15 * _G} THEN 'DISK_SPACE' END, CASE WHEN failed THEN 'BACKGROUND_FAILURE' END, CASE WHEN paused THEN 'ADMINISTRATIVE_PAUSE' END) AS reasons,
+ greatest(0, least(1, (m - 2) / 2.0::DOUBLE), least(1, (wal - {_G // 2})::DOUBLE / {2 * _G - _G // 2}), least(1, (l0 - 12) / 8.0::DOUBLE), least(1, (debt - {2 * _G})::DOUBLE / {6 * _G}), CASE WHEN dok THEN 1 - greatest(0, least(1, (usable - {5 * _G})::DOUBLE / {10 * _G})) ELSE 0 END) AS sev FROM i)
 SELECT id, CASE WHEN f THEN 'FAILED' WHEN st THEN 'STOPPED_RETRYABLE' WHEN reasons = '' THEN 'NORMAL' ELSE 'SLOWDOWN' END AS state, reasons,
  CASE WHEN NOT f AND NOT st AND reasons <> '' THEN least(10000, floor(100 + sev * sev * 9900 + 0.5))::BIGINT ELSE 0 END AS delay_micros FROM s""")
 def pol_write_pressure(spark, d):
     m = F.expr
     grid = table(spark, d, "events").select(
         m("event_id AS id"), m("int(event_id % 5) AS immutable_memtables"), m("event_id * 7 % 2600 * 1048576 AS wal_bytes"), m("int(event_id * 3 % 22) AS l0_files"),
-        m("event_id * 11 % 9000 * 1048576 AS debt_bytes"), m(f"(event_id % 40) * {_G} AS usable_disk"), m(f"100L * {_G} AS total_disk"), m("true AS disk_ok"),
+        m("event_id * 11 % 9000 * 1048576 AS debt_bytes"), m(f"(event_id % 40) * {_G} AS usable_disk"), m(f"100L * {_G} AS total_disk"), m("event_id % 6 <> 1 AS disk_ok"),
         m("event_id % 50 = 7 AS failed"), m("event_id % 60 = 9 AS paused"), m("event_id % 70 <> 3 AS native_ok"),
     )
     return write.write_pressure(grid).select("id", "state", "reasons", "delay_micros")
@@ -494,10 +534,33 @@ def insp_verify_duplicates(spark, d):
     return resolve.duplicate_versions(log.union(log))
 
 
-@query(f"WITH {LOG} SELECT k, seq, op, v, false AS conflict FROM {_NEWEST.format('')}")
+@query(f"WITH {LOG} SELECT k, seq, op, v, seq % 3 = 0 AND op = 1 AS conflict FROM {_NEWEST.format('')}")
 def insp_salvage_latest(spark, d):
     log = log_of(spark, d)
-    return inspect.salvage(log.union(log))
+    return inspect.salvage(log.union(log.withColumn("v", F.when(F.col("seq") % 3 == 0, F.col("v") + 1).otherwise(F.col("v")))))
+
+
+@query(f"WITH {LOG} SELECT k, seq, op, v, false AS conflict FROM log")
+def insp_salvage_history(spark, d):
+    log = log_of(spark, d)
+    return inspect.salvage(log.union(log), history=True)
+
+
+@query(f"WITH {FILES} SELECT file_number, lo FROM mf WHERE level = 2")
+def mf_files_of_level(spark, d):
+    return manifest.files_of_level(files_of(spark, d), 2).select("file_number", "lo")
+
+
+@query("SELECT event_id // 10 * 10 + 9 AS before, event_id // 10 * 10 + 11 AS edit_number FROM events WHERE event_id % 10 = 0 AND event_id > 0 AND event_id // 10 * 10 + 11 <= (SELECT max(event_id) FROM events) AND event_id % 1000 = 0")
+def mf_edit_gaps(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("edit_number")).filter("edit_number % 1000 <> 10 OR edit_number < 1000")
+    return manifest.edit_gaps(e).select("before", "edit_number")
+
+
+@query("SELECT o_orderkey AS edit_number FROM orders WHERE o_orderkey < (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 97 = 96)")
+def mf_recoverable(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("edit_number"), (F.col("o_orderkey") % 97 != 96).alias("valid"))
+    return manifest.recoverable(e).select("edit_number")
 
 
 @query(f"WITH {RLOG} SELECT log_id, idx FROM rl a WHERE NOT EXISTS (SELECT 1 FROM rl b WHERE b.log_id = a.log_id AND b.idx <= a.idx AND length(b.text) % 5 = 0)")
@@ -516,3 +579,37 @@ def disp_keys(spark, d):
     c = table(spark, d, "customer")
     body = F.substring(F.lower(F.hex(keys.long_key(F.col("c_custkey")))), 2, 15)
     return c.select("c_custkey", F.concat(F.lit("0"), body).alias("low"), keys.display_key(keys.string_key(F.col("c_name"))).alias("shown"))
+
+
+_BY_ID = "SELECT c_custkey::VARCHAR AS id, c_nationkey::VARCHAR AS key_codec, c_mktsegment AS schema_id, c_name AS fingerprint, (c_custkey % 3)::INT AS schema_version FROM customer"
+
+
+@query(f"""WITH o AS ({_BY_ID}), n AS (SELECT id, CASE WHEN id::INT % 11 = 0 THEN 'other' ELSE key_codec END AS key_codec, schema_id, CASE WHEN id::INT % 7 = 0 THEN 'new' ELSE fingerprint END AS fingerprint, 1 AS schema_version FROM o)
+SELECT n.id AS collection_id, CASE WHEN o.id::INT % 13 = 0 THEN 'CREATED' WHEN n.key_codec <> o.key_codec OR n.schema_version < o.schema_version THEN 'CONFLICT'
+ WHEN n.schema_version > o.schema_version THEN CASE WHEN n.id::INT % 5 = 0 THEN 'CONFLICT' ELSE 'UPGRADE' END WHEN n.fingerprint <> o.fingerprint THEN 'CONFLICT' ELSE 'UNCHANGED' END AS status FROM n JOIN o ON n.id = o.id""")
+def sch_register(spark, d):
+    m = F.expr
+    old = table(spark, d, "customer").select(
+        m("string(c_custkey) AS collection_id"), m("string(c_nationkey) AS key_codec"), m("c_mktsegment AS schema_id"), m("c_name AS fingerprint"), m("int(c_custkey % 3) AS schema_version")
+    )
+    request = old.withColumns({"key_codec": m("IF(int(collection_id) % 11 = 0, 'other', key_codec)"), "fingerprint": m("IF(int(collection_id) % 7 = 0, 'new', fingerprint)"), "schema_version": F.lit(1)})
+    bad = old.filter("int(collection_id) % 5 = 0").select("collection_id")
+    return schema.register(old.filter("int(collection_id) % 13 <> 0"), request, bad).select("collection_id", "status")
+
+
+@query("SELECT conv_id AS config, turn AS member_id, CASE WHEN turn % 5 = 0 THEN 'DUPLICATE' ELSE 'ENDPOINTS' END AS problem FROM conversations, range(2) r(i) WHERE turn % 5 = 0 OR (turn % 5 = 2 AND i = 0)")
+def rlog_member_problems(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("config"), F.col("turn").alias("member_id"))
+    m = c.withColumn("endpoints", F.expr("IF(member_id % 5 = 2, array_repeat('h', 9), array('h'))"))
+    return replog.member_problems(m.union(m.filter("member_id % 5 = 0")))
+
+
+@query(f"WITH {RLOG} SELECT log_id, term FROM rl WHERE idx = 2")
+def rlog_entry_at(spark, d):
+    return replog.entry_at(rlog_of(spark, d), 2).select("log_id", "term")
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS shown, true AS back FROM documents")
+def disp_escape(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text", keys.escape(F.col("text")).alias("shown"))
+    return t.select("doc_id", "shown", keys.unescape(F.col("shown")).eqNullSafe(F.col("text")).alias("back"))
