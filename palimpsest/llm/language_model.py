@@ -22,10 +22,14 @@ from pyspark.sql import functions as F
 from palimpsest.llm import kernels as K
 from palimpsest.llm.shared import checkpoint
 
-#: Bytes of text in a group, about, and for each reducer.
-GROUP_BYTES, REDUCER_BYTES = 16 << 20, 32 << 20
-BUCKETS = 32  # of a context's frequency, by powers of two
-_BINS, _STEP = 256, 0.15  # of the logarithm of (context count - 1) * unigram probability, from e^-30
+#: Bytes of text in a group, about; a reducer has twice as many.  Every group sends a row to nearly every reducer, so beyond
+#: ``SQUARE_BYTES`` of text groups grow with its square root, which keeps the rows in proportion, up to what a task's memory holds.
+GROUP_BYTES, LARGEST_GROUP, SQUARE_BYTES = 16 << 20, 128 << 20, 64 << 30
+BUCKETS = 64  # of a context's frequency, by powers of two
+#: Bins of the logarithm of (context count - 1) * unigram probability: with the bucket 16 bits, and wide enough for any 64-bit count.
+_BINS, _STEP, _LEAST = 1024, 0.1, -50
+#: Bits that are kept of a count in the table of how many words have each count; smaller ones are exact.
+COUNT_BITS = 12
 _END, _START = np.uint64(0x5DEECE66D1234567), np.uint64(0x1B873593CC9E2D51)
 
 
@@ -43,7 +47,12 @@ def _expanded(raw: bytes, n: int, width: int, dtype: type) -> np.ndarray:
     return out.reshape(-1).view(dtype)
 
 
-def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column) -> DataFrame:
+def group_bytes(size: int) -> int:
+    """Bytes of a group for so many bytes of text."""
+    return min(LARGEST_GROUP, int(GROUP_BYTES * max(1.0, (size / SQUARE_BYTES) ** 0.5)))
+
+
+def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column, limit: int = GROUP_BYTES) -> DataFrame:
     """(gid, size, blob): the texts in groups, each with its ``keep`` columns and ``__held``."""
     source = docs.select(*[c.alias(k) for k, c in keep.items()], held_out.alias("__held"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -62,7 +71,7 @@ def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column) -> D
         for batch in K.slices(batches):
             held.append(batch)
             size += int(K.buffers(batch.column(batch.num_columns - 1))[1][-1])
-            if size >= GROUP_BYTES:
+            if size >= limit:
                 yield group()
                 made, held, size = made + 1, [], 0
         if held:
@@ -142,10 +151,20 @@ def _merge(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndar
     return rows, total, first, back
 
 
+def _count_table(total: np.ndarray) -> list[tuple[int, int, int]]:
+    """(count, words, tokens) of the words by count; counts above ``2 ** COUNT_BITS`` are put together where their first bits agree."""
+    total = total[total > 0]
+    shift = np.maximum(np.log2(np.maximum(total, 1)).astype(np.int64) - (COUNT_BITS - 1), 0)
+    cell, back = np.unique(total >> shift << shift, return_inverse=True)
+    sums = np.zeros(len(cell), np.int64)
+    np.add.at(sums, back, total)
+    return [(int(c), int(n), int(s)) for c, n, s in zip(cell, np.bincount(back, minlength=len(cell)), sums)]
+
+
 def _answers(rows: list[dict], kind: int, total: np.ndarray, back: np.ndarray) -> list[tuple]:
     out, at = [], 0
     for x in rows:
-        out.append((x["gid"], kind, x["r"], x["n"], _squeezed(total[back[at : at + x["n"]]].astype(np.uint32), 4)))
+        out.append((x["gid"], kind, x["r"], x["n"], _squeezed(total[back[at : at + x["n"]]].astype(np.uint64), 8)))
         at += x["n"]
     return out
 
@@ -153,7 +172,7 @@ def _answers(rows: list[dict], kind: int, total: np.ndarray, back: np.ndarray) -
 def _told(table: pa.Table, kind: int) -> np.ndarray:
     """The counts that a group was told, in the order in which it asked."""
     rows = sorted((x for x in table.to_pylist() if x["kind"] == kind), key=lambda x: x["r"])
-    return np.concatenate([_expanded(x["counts"], x["n"], 4, np.uint32) for x in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return np.concatenate([_expanded(x["counts"], x["n"], 8, np.uint64) for x in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
@@ -183,13 +202,13 @@ def mixture_weight(ratio: np.ndarray, weight: np.ndarray, rounds: int = 60) -> f
 def _histogram(count: np.ndarray, mark: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, bin of the logarithm of bigram against unigram, training tokens); bin -1: the deleted count is 0.
 
-    ``mark`` holds 256 * bucket + bin of the unigram side.
+    ``mark`` holds ``_BINS`` * bucket + bin of the unigram side.
     """
     use = count > 0
     count, mark = count[use], mark[use].astype(np.int64)
-    side = (mark & 255) * _STEP - 30
+    side = (mark % _BINS) * _STEP + _LEAST
     place = np.where(count > 1, np.clip(np.round((np.log(np.maximum(count - 1, 1)) - side) / _STEP), -1000, 1000) + 1000, 2001).astype(np.int64)
-    cell, back = np.unique((mark >> 8) * 4096 + place, return_inverse=True)
+    cell, back = np.unique(mark // _BINS * 4096 + place, return_inverse=True)
     sums = np.bincount(back, weights=count)
     return [(int(c) >> 12, (int(c) & 4095) if (int(c) & 4095) <= 2000 else -1, int(n)) for c, n in zip(cell, sums)]
 
@@ -201,7 +220,7 @@ def _bucket(count: np.ndarray) -> np.ndarray:
 def _marks(group: Group, count: np.ndarray, unigram: Unigram) -> np.ndarray:
     context = count[group.left]
     side = np.log(np.maximum(context - 1, 1)) + np.log(unigram.probability(count[group.right], 1))
-    return (_bucket(context) * 256 + np.clip(np.round((side + 30) / _STEP), 0, 255).astype(np.int64)).astype(np.uint16)
+    return (_bucket(context) * _BINS + np.clip(np.round((side - _LEAST) / _STEP), 0, _BINS - 1).astype(np.int64)).astype(np.uint16)
 
 
 def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> DataFrame:
@@ -209,11 +228,12 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
 
     Learns from the rows where ``held_out`` does not hold.  Null texts are empty: the end is their one token.  With nothing to learn from, all
     counts are 0 and the score is that of the uniform distribution.  Repeated rows count each.  Tokens and bigrams are told
-    apart by 53 and more bits of a hash.
+    apart by 51 and more bits of a hash.
     """
-    groups = checkpoint(pack_groups(docs, keep, held_out))
+    limit = group_bytes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    groups = checkpoint(pack_groups(docs, keep, held_out, limit))
     size = groups.agg(F.sum("size")).first()[0] or 0
-    bits = max(3, int(size // REDUCER_BYTES).bit_length())
+    bits = max(3, int(size // (2 * limit)).bit_length())
     out_schema = docs.select(*[c.alias(k) for k, c in keep.items()]).schema.add("held_out", "boolean")
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         out_schema = out_schema.add(name, kind)
@@ -226,15 +246,16 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
 
     def tell_words(table: pa.Table) -> pa.Table:
         rows, total, _, back = _merge(table)
-        counts, of = np.unique(total[total > 0], return_counts=True)
-        facts = [(-1, 0, int(n), 0, str(int(c)).encode()) for c, n in zip(counts, of)]  # how many words have each count
+        facts = [(-1, 0, n, 0, f"{c}:{own}".encode()) for c, n, own in _count_table(total)]  # how many words have each count
         return pa.Table.from_batches([_batch(_answers(rows, 0, total, back) + facts, _TELL)])
 
     words = checkpoint(groups.select("gid", "blob").mapInArrow(ask_words, _ASK).groupBy("r").applyInArrow(tell_words, _TELL))
-    facts = words.filter("gid < 0").groupBy(F.col("counts").cast("string").cast("bigint").alias("c")).agg(F.sum("r").alias("n"))
-    facts = facts.collect()  # one row for each different count: below the root of twice the tokens
-    count, of = np.array([r.c for r in facts], float), np.array([r.n for r in facts], float)
-    tokens, types = int((count * of).sum()), int(of.sum())
+    facts = words.filter("gid < 0").select(F.split(F.col("counts").cast("string"), ":").cast("array<bigint>").alias("c"), "r")
+    facts = facts.groupBy(F.col("c")[0].alias("c")).agg(F.sum("r").alias("n"), F.sum(F.col("c")[1]).alias("own"))
+    facts = facts.collect()  # at most 2 ** 12 exact counts and 2 ** 11 for each power of two above: 110,000 at any size
+    tokens, types = sum(r.own for r in facts), sum(r.n for r in facts)
+    of = np.array([r.n for r in facts], float)
+    count = np.array([r.own for r in facts], float) / np.maximum(of, 1)
     ratio = (count - 1) / max(tokens - 1, 1) * (types + 1)
     unigram = Unigram(tokens, types, mixture_weight(ratio, count * of))
 
@@ -271,7 +292,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(cells[:, k]) for k in range(3)], ["bucket", "bin", "n"])
 
     cells = pairs.filter("gid < 0").select("counts").mapInArrow(sum_cells, "bucket bigint, bin bigint, n bigint")
-    cells = cells.groupBy("bucket", "bin").agg(F.sum("n").alias("n")).collect()  # at most 32 * 2002
+    cells = cells.groupBy("bucket", "bin").agg(F.sum("n").alias("n")).collect()  # at most 64 * 2002
     weights = np.zeros(BUCKETS)
     for b in range(BUCKETS):
         own = [r for r in cells if r.bucket == b]

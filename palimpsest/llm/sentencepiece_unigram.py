@@ -8,6 +8,7 @@ What no piece covers falls back to byte pieces.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +23,7 @@ from palimpsest.llm import kernels as K
 
 MARKER = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-#: Segments of more bytes are segmented one by one.
+#: Segments of more bytes, as of scripts without spaces, are walked one by one.
 LONG = 256
 CACHE_SEGMENTS = 1_000_000
 
@@ -95,6 +96,9 @@ def load(path: str) -> Pieces:
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = m.get_piece_size()
+    normaliser = m.Normalize("ﬁ Å\u0065\u0301") if hasattr(m, "Normalize") else None
+    if normaliser is not None and normaliser != "▁ﬁ▁Å\u0065\u0301":
+        raise ValueError("the vocabulary's normaliser changes characters; only the identity with a marker in front is supported")
     byte_id, text, keys = np.full(256, m.unk_id(), np.int64), [], []
     score = np.array([m.get_score(k) for k in range(n)])
     for k in range(n):
@@ -165,6 +169,42 @@ def viterbi(rows: np.ndarray, size: np.ndarray, p: Pieces) -> tuple[np.ndarray,
     return flat, count
 
 
+def walk(text: bytes, p: Pieces) -> np.ndarray:
+    """What ``viterbi`` gives for one long segment: from each character the trie is walked byte by byte, in plain Python.
+
+    The time is that of the pieces that begin at each character; memory is two numbers for each byte.
+    """
+    base, check, value, score = (memoryview(x) for x in (p.base, p.check, p.value, p.score))
+    n, limit = len(text), len(p.base)
+    best, back = [-math.inf] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for i in range(n):
+        here = best[i]
+        if here == -math.inf:
+            continue
+        lead = text[i]
+        end = min(n, i + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0))
+        state, j, single = 0, i, False
+        while j < n:
+            new = base[state] + text[j]
+            if new >= limit or check[new] != state:
+                break
+            state, j = new, j + 1
+            piece = value[state]
+            if piece >= 0:
+                single = single or j == end
+                if here + score[piece] > best[j]:
+                    best[j], back[j] = here + score[piece], piece
+        if not single and here + p.unknown > best[end]:
+            best[end], back[end] = here + p.unknown, -1
+    out, at = [], n
+    while at > 0:
+        piece = back[at]
+        out.append(p.byte_id[text[at - 1]] if piece < 0 else piece)
+        at -= 1 if piece < 0 else len(p.text[piece])
+    return np.array(out[::-1], np.int64)
+
+
 class Codec:
     """Encodes and decodes whole texts with one vocabulary."""
 
@@ -182,8 +222,13 @@ class Codec:
         at = 0
         while at < len(order):
             width = int(size[order[at]])
-            top = max(width + width // 4, 8)
-            end = at + 1 if width > LONG else min(int(np.searchsorted(size[order], top, "right")), at + 20_000)
+            if width > LONG:  # and so are all that follow
+                for k in order[at:]:
+                    values.append(walk(segments[k], self.p))
+                    counts[k] = len(values[-1])
+                break
+            top = min(max(width + width // 4, 8), LONG)
+            end = min(int(np.searchsorted(size[order], top, "right")), at + 20_000)
             chunk = order[at:end]
             joined = b"".join(segments[k].ljust(int(size[order[end - 1]]), b"\0") for k in chunk)
             ids, counts[chunk] = viterbi(np.frombuffer(joined, np.uint8).reshape(len(chunk), -1), size[chunk], self.p)

@@ -246,14 +246,33 @@ def test_pieces_equal_the_library():
         p.score = max(p.score, -40000.0)  # the library sums single floats
     lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
     texts = pq.read_table(f"{SF_DIR}/documents.parquet")["text"].to_pylist()[:60]
-    texts += ["  two  spaces ", "new\nline\ttab", "😀漢字", "naïve café", "a" * 700]
+    rng = np.random.default_rng(8)
+    unspaced = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 700))), "".join(rng.choice(list("的一是不了人我在有他这中大来上国個説ひカ"), 900)), "base64" * 300, "ñandú" * 200 + "😀" * 90]
+    texts += ["new\nline\ttab", "😀漢字", "naïve café", "a" * 700, *unspaced]
+    spaces = ["  two  spaces ", " ", "   "]  # runs of spaces: the library sums their scores of -1e9 in single floats
     codec = sentencepiece_unigram.codec(PIECES)
-    ids, place = codec.encode(pa.array(texts))
-    for k, x in enumerate(texts[:60]):
+    ids, place = codec.encode(pa.array(texts + spaces))
+    for k, x in enumerate(texts):
         assert ids[place[k] : place[k + 1]].tolist() == lib.encode(x)
+    texts += spaces
     assert codec.decode(ids.astype(np.int64), place) == texts
 
 
+def test_pieces_of_long_unspaced_texts():
+    """The walk of a long segment gives what the trie side by side gives, and a megabyte without spaces takes seconds."""
+    import time
+
+    codec, rng = sentencepiece_unigram.codec(PIECES), np.random.default_rng(2)
+    for _ in range(20):
+        text = "".join(rng.choice(list("abcdeéñ的一漢😀"), rng.integers(1, 200))).encode()
+        ids, count = sentencepiece_unigram.viterbi(np.frombuffer(text, np.uint8).reshape(1, -1), np.array([len(text)]), codec.p)
+        assert sentencepiece_unigram.walk(text, codec.p).tolist() == ids.tolist() and count[0] == len(ids)
+    big = "".join(rng.choice(list("的一是不了人我在有他这中大来上国"), 350_000))
+    began = time.perf_counter()
+    ids, place = codec.encode(pa.array([big]))
+    assert time.perf_counter() - began < 20 and codec.decode(ids.astype(np.int64), place) == [big]
+
+
 def test_pieces_equal_the_unigram_library_on_all_texts():
     """And not the file's own encoder, which is BPE."""
     import sentencepiece
@@ -290,6 +309,49 @@ def test_language_model_base_and_held_out(spark):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+def test_language_model_score_against_plain_counts(spark):
+    """The interpolated score and its weights by straightforward counting: each training token is left out of the counts that predict it."""
+    docs = {r.doc_id: r.text for r in queries.table(spark, SF_DIR, "documents").collect()}
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = {k: [None, *re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for k, t in docs.items()}  # the end stands before a first word, too
+    train = [ws for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    c, pairs = Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in zip(ws, ws[1:]))
+    n, v = sum(c.values()), len(c)
+    count = np.array(list(c.values()), float)
+    w = language_model.mixture_weight((count - 1) / (n - 1) * (v + 1), count)
+    uni = lambda x, gone=0: w * max(c[x] - gone, 0) / (n - gone) + (1 - w) / (v + 1)
+    by = {}
+    for (a, b), k in pairs.items():
+        by.setdefault(int(math.log2(c[a])), []).append(((k - 1) / max(c[a] - 1, 1) / uni(b, 1), k))
+    share = {g: language_model.mixture_weight(np.array([r for r, _ in x]), np.array([float(k) for _, k in x])) for g, x in by.items()}
+    assert len(share) > 5 and max(share.values()) > 0.2
+    got = {r.doc_id: r.score for r in queries.op6_lm_scoring(spark, SF_DIR).collect()}
+    for doc, ws in tokens.items():
+        want = 0.0
+        for a, b in zip(ws, ws[1:]):
+            s = share.get(int(math.log2(c[a])), 0.0) if c[a] else 0.0
+            want += math.log10(s * pairs[a, b] / max(c[a], 1) + (1 - s) * uni(b))
+        assert got[doc] == pytest.approx(want, rel=2e-3)
+
+
+def test_language_model_rows_grow_with_the_text():
+    rows = lambda size: (size / language_model.group_bytes(size)) * (size / language_model.group_bytes(size) / 2)
+    assert language_model.group_bytes(1 << 20) == language_model.GROUP_BYTES
+    assert all(rows(4 * s) <= 4.1 * rows(s) for s in (1 << 36, 1 << 38, 1 << 40))
+
+
+def test_language_model_counts_beyond_32_bits():
+    total = np.array([1, 1, 4095, 4097, 5_000_000_000, 5_000_000_001, 0, 3 << 40])
+    table = language_model._count_table(total)
+    assert sum(s for _, _, s in table) == total.sum() and sum(n for _, n, _ in table) == 7 and len(table) <= 6
+    rows = [{"gid": 7, "r": 0, "n": 3}]
+    told = language_model._answers(rows, 0, np.array([5_000_000_000, 1, 3 << 40]), np.array([0, 1, 2]))
+    batch = language_model._batch(told, language_model._TELL)
+    assert language_model._told(pa.Table.from_batches([batch]), 0).tolist() == [5_000_000_000, 1, 3 << 40]
+    for context in (1, 7, 1 << 20, 1 << 40, 1 << 62):  # no two orders of magnitude fall together
+        assert language_model._bucket(np.array([context]))[0] == context.bit_length() - 1
+
+
 def test_mixture_weight_is_the_likeliest():
     ratio, weight = np.array([0.0, 0.5, 3.0, 20.0]), np.array([5.0, 3.0, 4.0, 2.0])
     best = max(np.linspace(0.001, 0.999, 999), key=lambda w: (weight * np.log(w * ratio + 1 - w)).sum())
