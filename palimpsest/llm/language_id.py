@@ -21,6 +21,8 @@ from palimpsest.llm import kernels as K
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
+#: N-grams whose rows of the matrix are gathered at once, however long a text is.
+CHUNK = 1 << 17
 UNKNOWN = "und"
 
 
@@ -85,7 +87,8 @@ class Model:
 def train(rows: DataFrame) -> Model:
     """A model of all ``rows`` (text, lang) with a language.
 
-    What reaches the driver is at most ``BUCKETS`` counts for each language; null texts count for the prior only.
+    What reaches the driver is at most ``BUCKETS`` counts for each language; null texts count for the prior only.  Repeated rows
+    count each, extra columns do not matter, and an empty table gives a model that knows no language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column]) -> DataFrame
     """The ``keep`` columns of every row of ``docs`` with ``lang_pred`` and ``score``, the posterior probability.
 
     A text that is null or has no letter, and any text when nothing was learned, is ``und`` with score 0.
-    Ties go to the language that sorts first.
+    Ties go to the language that sorts first.  Repeated rows get the same result each; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -135,9 +138,13 @@ def predict(docs: DataFrame, model: Model, keep: dict[str, Column]) -> DataFrame
             logs = np.tile(m.priors, (batch.num_rows, 1))
             for order in ORDERS:
                 bucket, place = _grams(low, offsets, order)
-                full = np.flatnonzero(np.diff(place))
-                if len(full) and m.languages:
-                    logs[full] += np.add.reduceat(m.table[bucket], place[:-1][full], axis=0)
+                for at in range(0, len(bucket) if m.languages else 0, CHUNK):  # rows of the matrix, a bounded number at a time
+                    end = min(at + CHUNK, len(bucket))
+                    first, last = np.searchsorted(place, (at, end - 1), "right") - 1
+                    held = np.arange(first, last + 1)
+                    cuts = np.maximum(place[held], at) - at
+                    some = np.minimum(place[held + 1], end) - at > cuts
+                    logs[held[some]] += np.add.reduceat(m.table[bucket[at:end]], cuts[some], axis=0)
             best, score = np.full(batch.num_rows, len(m.languages)), np.zeros(batch.num_rows)
             if m.languages:
                 top = logs.argmax(axis=1)

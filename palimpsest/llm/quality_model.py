@@ -89,7 +89,9 @@ class Model:
             return np.full(len(x), self.fixed)
         logs = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = (x - mean).T
+            for i, row in enumerate(factor):  # forward substitution: the factor is triangular
+                z[i] = (z[i] - row[:i] @ z[:i]) / row[i]
             logs.append(constant - 0.5 * (z * z).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
@@ -146,6 +148,7 @@ def classify(docs: DataFrame, labels: DataFrame, train_on: Column, keep: dict[st
 
     ``keep`` names the columns returned beside ``score`` and ``predicted``.  Null labels and labels other than 0 and 1 are not learned;
     a document with several labels counts once for each different one, and repeated rows count each.  Null and empty texts are scored like others.
+    Extra columns are ignored; an empty table gives an empty result, and with nothing to learn from every score is 0.5.
     """
     from palimpsest.llm.shared import checkpoint
 

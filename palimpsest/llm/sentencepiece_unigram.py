@@ -308,7 +308,8 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, n_bytes (ids of byte pieces), ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text again.
 
-    A text that holds the marker itself decodes to a space there, so it alone does not come back.
+    A text that holds the marker itself decodes to a space there, so it alone does not come back.  Null and empty texts have no ids;
+    null comes back as empty, which counts as the same.  Repeated rows get the same result each; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

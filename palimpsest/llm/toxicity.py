@@ -275,12 +275,13 @@ def score(docs: DataFrame, model: Model, keep: dict[str, Column], threshold: flo
 def classify(docs: DataFrame, labels: DataFrame, train_on: Column, keep: dict[str, Column]) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text) by a model of the labels of the rows where ``train_on`` holds.
 
-    Of several labels of one id the largest counts; rows without an id are scored, not learned.  Extra columns are ignored.
+    Of several labels of one id the largest counts; rows without an id are scored, not learned.  Extra columns are ignored.  Null and
+    empty texts have no hits and get the score of the constant alone; an empty table gives an empty result.
     """
     return score(docs, train(docs.filter(train_on), labels.filter(train_on)), keep)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train_on: Column) -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, with their own columns only."""
+    """The rows of ``docs`` not predicted toxic, with their own columns only: null and empty texts stay, repeated rows go or stay together, an empty table stays empty."""
     told = classify(docs, labels, train_on, {"__row": F.struct(*[F.col(c) for c in docs.columns])})
     return told.filter("predicted = 0").select("__row.*")

@@ -352,6 +352,112 @@ def test_language_model_counts_beyond_32_bits():
         assert language_model._bucket(np.array([context]))[0] == context.bit_length() - 1
 
 
+def test_language_id_against_plain_counts(spark):
+    """Naive Bayes over the same buckets by counting one n-gram at a time; texts are longer than a chunk of the matrix, too."""
+
+    def grams_of(text):
+        low = re.sub(" +", " ", "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or ""))
+        for order in language_id.ORDERS:
+            for i in range(len(low) - order + 1):
+                h = order
+                for c in low[i : i + order]:
+                    h = (h ^ ord(c)) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h & (language_id.BUCKETS - 1)
+
+    docs = queries.table(spark, SF_DIR, "documents").select("doc_id", "text", "lang").collect()[:60]
+    rows = [(r.doc_id, (r.text or "")[:2000], r.lang) for r in docs] + [(9001, "Ünd 😀 ǅ 漢字 ñ", "de"), (9002, None, "fr"), (9003, "12 ?!", None), (9004, "the cat sat " * 30000, None)]
+    counts, texts = {}, Counter()
+    for _, text, lang in rows:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(grams_of(text))
+            texts[lang] += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.predict(table, language_id.train(table), {"doc_id": F.col("doc_id")}).collect()}
+    for doc, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[doc].lang_pred, got[doc].score) == ("und", 0.0)
+            continue
+        own = Counter(grams_of(text))
+        logs = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS
+            logs[lang] = math.log(texts[lang] / sum(texts.values())) + sum(k * math.log((c[g] + language_id.SMOOTHING) / total) for g, k in own.items())
+        best = max(sorted(logs), key=logs.get)
+        assert got[doc].lang_pred == best
+        assert got[doc].score == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()), rel=1e-6)
+
+
+def test_quality_classifier_against_plain_densities(spark):
+    """Statistics by string operations, and log densities by inverse and determinant."""
+
+    def stats(text):
+        raw = (text or "").encode()
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        lines = [x for x in raw.split(b"\n") if x]
+        n = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+        share = lambda x, of: math.log((x + 0.5) / (of + 5.0))
+        inked = len(re.sub(rb"[\x20\x09-\x0D]", b"", raw))
+        repeats = sum(a == b for a, b in zip(words, words[1:]))
+        return [
+            math.log1p(len(words)), math.log((inked + 5.0) / (len(words) + 1.0)), share(n(b"#*$%&|<>^~=+@_\\{}[]"), len(words)), share(n(b"!?"), len(words)),
+            share(n(range(65, 91)), len(raw)), share(n(range(48, 58)), len(raw)), share(n(b".,;:"), len(words)),
+            math.log((len(set(words)) + 5.0) / (len(words) + 5.0)), share(repeats, len(words)), share(len(lines) - len(set(lines)), len(lines)),
+        ]
+
+    docs = {r.doc_id: r.text for r in queries.table(spark, SF_DIR, "documents").collect()}
+    labels = {r.doc_id: r.quality for r in queries.table(spark, SF_DIR, "labels").collect()}
+    x = {k: np.array(stats(t)) for k, t in docs.items()}
+    train = [k for k in docs if labels.get(k) in (0, 1) and zlib.crc32(str(k).encode()) % 4 != 2]
+    by = {c: np.array([x[k] for k in train if labels[k] == c]) for c in (0, 1)}
+    raw = {c: np.cov(v.T, bias=True) for c, v in by.items()}
+    pooled = sum(len(by[c]) * raw[c] for c in (0, 1)) / len(train)
+    logs = {}
+    for c in (0, 1):
+        s = (1 - quality_model.SHRINK_DIAGONAL) * raw[c] + quality_model.SHRINK_DIAGONAL * np.diag(np.diag(raw[c]))
+        s = (1 - quality_model.SHRINK_POOLED) * s + quality_model.SHRINK_POOLED * pooled + quality_model.RIDGE * np.eye(len(s))
+        inverse, mean = np.linalg.inv(s), by[c].mean(axis=0)
+        logs[c] = {k: math.log(len(by[c]) / len(train)) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (v - mean) @ inverse @ (v - mean) for k, v in x.items()}
+    for r in queries.op4_quality_classifier(spark, SF_DIR).collect():
+        want = 1 / (1 + math.exp(min(700, max(-700, logs[0][r.doc_id] - logs[1][r.doc_id]))))
+        assert r.score == pytest.approx(want, rel=1e-4, abs=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
+def test_toxicity_score_against_plain_matching(spark):
+    """Hits by plain edit distance to every term, windows by slicing."""
+    terms = (("idiot", True), ("scum", True), ("moron", True), ("lowei", False), ("verachtu", False))
+    weights = np.array([-3.0, 4.0, 1.0, 2.5, 0.3])
+    lines = ["you 1diot", "an idoit?", "the 'scum' of", "scumm and skum", "he said moron today", "a mor0n b c d e f said", "loweiung verbchtung verachtet", "“idiots” idiot’s m@ron", "", None, "one two " * 400 + "moron"]
+    texts = lines + [r.text for r in queries.table(spark, SF_DIR, "documents").orderBy("doc_id").limit(40).collect()]
+
+    def hits(word):
+        low, out = word.lower(), []
+        if any(q in low[:2] + low[-2:] for q in toxicity.QUOTES):
+            out.append("q")
+        for token in toxicity._TOKEN.findall(low):
+            if token in toxicity.REPORTING:
+                out.append("q")
+            found = [distance(token, t) for t, whole in terms if whole and distance(token, t) <= (len(t) >= toxicity.FUZZY_WORD)]
+            found += [e for t, whole in terms if not whole for e in [min(distance(token[:k], t) for k in range(len(token) + 1))] if e <= (len(t) >= toxicity.FUZZY_STEM)]
+            if found:
+                out.append(min(found))
+        return out
+
+    known = {}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.Model(terms, weights), {"doc_id": F.col("doc_id")}).collect()}
+    for k, text in enumerate(texts):
+        words_ = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        marks = [known.setdefault(w, hits(w)) for w in words_]
+        n = np.zeros(4)
+        for i, found in enumerate(marks):
+            near = any("q" in m for m in marks[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1])
+            for e in found:
+                if e != "q":
+                    n[2 * e + near] += 1
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(weights[0] + np.log1p(n) @ weights[1:]))), rel=1e-9), text
+
+
 def test_mixture_weight_is_the_likeliest():
     ratio, weight = np.array([0.0, 0.5, 3.0, 20.0]), np.array([5.0, 3.0, 4.0, 2.0])
     best = max(np.linspace(0.001, 0.999, 999), key=lambda w: (weight * np.log(w * ratio + 1 - w)).sum())
