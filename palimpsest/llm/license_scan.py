@@ -57,6 +57,11 @@ def template_words(text: str) -> list[str]:
     return list(dict.fromkeys(_all_words(text)))
 
 
+def window_words(text: str, percent: int) -> int:
+    """Words of the windows that a template is looked for in."""
+    return max(1, len(_all_words(text)) * 100 // percent)
+
+
 def _due(own: list, percent: int) -> int:
     return max(1, -(-len(own) * percent // 100))
 
@@ -120,7 +125,7 @@ def _window_matches(docs: DataFrame, templates: tuple[tuple[str, str], ...], per
         own = template_words(text)
         rows.append(F.struct(
             F.lit(label).alias("label"), F.array(*[F.lit(w) for w in own]).alias("own"),
-            F.lit(_due(own, percent)).alias("due"), F.lit(max(1, len(_all_words(text)) * 100 // percent)).alias("width"),
+            F.lit(_due(own, percent)).alias("due"), F.lit(window_words(text, percent)).alias("width"),
         ))
     words = docs.select("__key", F.split(F.btrim(F.regexp_replace("__low", _GAPS, " ")), " ").alias("words"))
     words = words.select("__key", "words", F.explode(F.array(*rows)).alias("t"))

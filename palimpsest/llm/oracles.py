@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm.license_scan import PHRASES, TEMPLATES, template_words
+from palimpsest.llm.license_scan import PHRASES, TEMPLATES, template_words, window_words
 from palimpsest.llm.quality_rules import RULES, STOP_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,8 +14,8 @@ def _fail(base: bool) -> str:
 
 
 def _templates() -> str:
-    rows = ", ".join(f"({k}, '{label}', {template_words(text)})" for k, (label, text) in enumerate(TEMPLATES))
-    return f"t(k, label, own) AS (VALUES {rows})"
+    rows = ", ".join(f"({k}, '{label}', {template_words(text)}, {window_words(text, 80)})" for k, (label, text) in enumerate(TEMPLATES))
+    return f"t(k, label, own, width) AS (VALUES {rows})"
 
 
 _PHRASES = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in PHRASES)
@@ -30,7 +30,13 @@ b AS (SELECT u, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS
 {_templates()},
 n AS (SELECT u, list_distinct({_LICENSE_WORDS.format("line")}) AS w FROM (SELECT u, unnest(string_split(low, chr(10))) AS line FROM d)),
 m AS (SELECT u, label, len(list_intersect(n.w, t.own)) AS shared, len(t.own) AS size FROM n, t),
-f AS (SELECT u, list(DISTINCT label) AS l, max(shared / size) AS share FROM m WHERE shared >= greatest(1, (size * 80 + 99) // 100) GROUP BY u)
+tw AS (SELECT k, label, unnest(own) AS x, len(own) AS size, width, greatest(1, (len(own) * 80 + 99) // 100) AS due FROM t),
+o AS (SELECT i.u, i.i, tw.* FROM i JOIN tw ON tw.x = i.w[i.i + 1]),
+q AS (SELECT u, k FROM o GROUP BY u, k, due HAVING count(DISTINCT x) >= due),
+oq AS MATERIALIZED (SELECT o.* FROM o JOIN q ON q.u = o.u AND q.k = o.k),
+v AS (SELECT a.u, a.label, a.size, a.due, count(DISTINCT b.x) AS shared FROM oq a JOIN oq b ON a.u = b.u AND a.k = b.k AND b.i BETWEEN a.i AND a.i + a.width - 1 GROUP BY a.u, a.k, a.i, a.label, a.size, a.due),
+f AS (SELECT u, list(DISTINCT label) AS l, max(shared / size) AS share FROM
+    (SELECT u, label, shared, size FROM m WHERE shared >= greatest(1, (size * 80 + 99) // 100) UNION ALL SELECT u, label, shared, size FROM v WHERE shared >= due) b GROUP BY u)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.a::BIGINT AS first_word, b.z::BIGINT AS last_word,
     coalesce(array_to_string(list_sort(b.l), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.l, []), coalesce(f.l, [])))), ','), '') AS labels,

@@ -533,6 +533,16 @@ def test_license_statements_wrapped_over_lines(spark):
     assert all(score == (1.0 if want[k] else 0.0) for k, (_, score) in got.items())
 
 
+def test_license_sql_finds_wrapped_statements():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k, "lorem ipsum\n" * 40 + t + "\ndolor") for k, t in enumerate(WRAPPED.values())])
+    got = con.execute(f"SELECT labels, score FROM ({ORACLES['op1_license_scan']}) ORDER BY doc_id").fetchall()
+    assert got == [(name, 1.0) for name in WRAPPED]
+
+
 def test_very_long_clean_text_is_kept(spark):
     """Words with the frequencies of prose, whose distinct ones are 25 % of a stretch and more, but under 25 % of the whole; few words repeated still go."""
     rng = np.random.default_rng(1)
