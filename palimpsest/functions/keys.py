@@ -66,21 +66,22 @@ def canonical_set(values: Column) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
-def _uuid_text(h: Column) -> Column:
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+def uuid_text(h: Column) -> Column:
+    """32 hexadecimal digits in the form of a UUID; null for null."""
+    return F.when(h.isNotNull(), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
 
 
 def display_key(raw: Column) -> Column:
     """A typed key as ``collection/<uuid>/<user key>``; any other, and the user's, as ``display_bytes``."""
     typed = (F.octet_length(raw) >= TYPED_KEY_HEAD) & (F.hex(F.substring(raw, 1, 1)) == f"{TYPED_KEY_TAG:02X}")
-    owner, user = _uuid_text(F.lower(F.hex(F.substring(raw, 2, 16)))), F.substring(raw, TYPED_KEY_HEAD + 1, 1 << 30)
+    owner, user = uuid_text(F.lower(F.hex(F.substring(raw, 2, 16)))), F.substring(raw, TYPED_KEY_HEAD + 1, 1 << 30)
     return F.when(typed, F.concat(F.lit("collection/"), owner, F.lit("/"), display_bytes(user))).otherwise(display_bytes(raw))
 
 
 def display_bytes(raw: Column) -> Column:
     """16 bytes as a UUID, text without control characters as it is, else hexadecimal."""
     h = F.lower(F.hex(raw))
-    as_uuid = _uuid_text(h)
+    as_uuid = uuid_text(h)
     valid = F.is_valid_utf8(raw.cast("string"))
     text = F.when(valid, raw.cast("string"))
     plain = valid & ~text.rlike(r"[\x00-\x1F\x7F-\x9F]")

@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import keys
-from palimpsest.operators import compact, inspect, manifest, metrics, relations, replog, resolve, schema, write
+from palimpsest.functions import checksum, codecs, keys
+from palimpsest.operators import bloom, compact, inspect, manifest, metrics, relations, replog, resolve, schema, write
+from palimpsest.sources import typed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -613,3 +614,141 @@ def rlog_entry_at(spark, d):
 def disp_escape(spark, d):
     t = table(spark, d, "documents").select("doc_id", "text", keys.escape(F.col("text")).alias("shown"))
     return t.select("doc_id", "shown", keys.unescape(F.col("shown")).eqNullSafe(F.col("text")).alias("back"))
+
+
+def people(spark: SparkSession, d: str) -> tuple[typed.Collection, DataFrame]:
+    """Customers as a typed collection: all are written once, every second again with another name, and each fifth is deleted last."""
+    from pyspark.sql import types as T
+
+    c = typed.Collection("customers", T.StructType([schema.field(16, "name", T.StringType()), schema.field(17, "segment", T.StringType(), optional=True)]), encode=keys.long_key, decode=keys.long_from_key)
+    base = table(spark, d, "customer").selectExpr("c_custkey AS key", "c_name AS name", "IF(c_custkey % 3 = 0, NULL, c_mktsegment) AS segment")
+    parts = [("true", 0, "name", 1), ("key % 2 = 0", 1_000_000_000, "concat(name, '+')", 1), ("key % 5 = 0", 2_000_000_000, "name", 2)]
+    rows = [base.filter(keep).selectExpr("key", f"{name} AS name", "segment", f"{op} AS op", f"key + {after}L AS seq") for keep, after, name, op in parts]
+    return c, c.to_log(resolve.union(*rows))
+
+
+_PEOPLE = """p AS (SELECT c_custkey AS key, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS segment FROM customer),
+pl AS (SELECT key, name, segment, 1 AS op, key AS seq FROM p UNION ALL SELECT key, name || '+', segment, 1, key + 1000000000 FROM p WHERE key % 2 = 0 UNION ALL SELECT key, name, segment, 2, key + 2000000000 FROM p WHERE key % 5 = 0),
+pn AS (SELECT * FROM pl {} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"""
+
+
+@query(f"WITH {_PEOPLE.format('')} SELECT key, seq, name, segment FROM pn WHERE op = 1 AND key = 42")
+def typed_get(spark, d):
+    c, log = people(spark, d)
+    return c.get(log, 42)
+
+
+@query(f"WITH {_PEOPLE.format('')} SELECT key, seq, name, segment FROM pn WHERE op = 1")
+def typed_scan_all(spark, d):
+    c, log = people(spark, d)
+    return c.scan_all(log)
+
+
+@query(f"WITH {_PEOPLE.format('WHERE seq <= 1999999999')} SELECT key, seq, name, segment FROM pn WHERE op = 1")
+def typed_as_of(spark, d):
+    c, log = people(spark, d)
+    return typed.snapshot([c], log, 1_999_999_999)["customers"]
+
+
+@query(f"WITH {_PEOPLE.format('')} SELECT key, seq, name AS title, NULL::VARCHAR AS note FROM pn WHERE op = 1")
+def typed_newer_schema(spark, d):
+    from pyspark.sql import types as T
+
+    c, log = people(spark, d)
+    return c.scan_all(log, fields=T.StructType([schema.field(16, "title", T.StringType()), schema.field(18, "note", T.StringType(), optional=True)]))
+
+
+@query("""WITH RECURSIVE x AS (SELECT c_custkey, c_name FROM customer), b AS (SELECT c_custkey, c_name, 0 AS i, 4294967295::BIGINT AS c FROM x
+UNION ALL SELECT c_custkey, c_name, i + 1, xor(c >> 8, list_reduce(list_prepend((xor(c, unicode(substr(c_name, i + 1, 1))) & 255)::BIGINT, range(8)), lambda a, n: xor(a >> 1, (a & 1) * 2197175160)))
+ FROM b WHERE i < length(c_name)),
+r AS (SELECT c_custkey, xor(c, 4294967295::BIGINT) AS crc FROM b WHERE i = length(c_name))
+SELECT c_custkey, crc, (((crc >> 15) | ((crc & 32767) * 131072)) + 2726488792) % 4294967296 AS stored, crc AS back FROM r""")
+def fmt_masked_crc32c(spark, d):
+    crc = table(spark, d, "customer").select("c_custkey", checksum.crc32c(keys.string_key(F.col("c_name"))).alias("crc"))
+    return crc.withColumn("stored", checksum.mask(F.col("crc"))).withColumn("back", checksum.unmask(F.col("stored")))
+
+
+@query("SELECT o_custkey % 4 AS file, count(*) AS members, count(*) AS found, true AS few_false FROM orders GROUP BY 1")
+def fmt_bloom_filter(spark, d):
+    held = table(spark, d, "orders").selectExpr("o_custkey % 4 AS file", "o_orderkey AS k")
+    bits = bloom.sizes(held)
+    asked = held.withColumn("member", F.lit(True)).union(held.selectExpr("file", "-1 - k AS k", "false AS member"))
+    got = bloom.may_contain(asked.select("file", "k"), bloom.build(held, bits), bits).withColumn("member", F.col("k") >= 0)
+    hit = lambda c: F.sum((c & F.col("maybe")).cast("long"))
+    out = got.groupBy("file").agg(F.sum(F.col("member").cast("long")).alias("members"), hit(F.col("member")).alias("found"), hit(~F.col("member")).alias("wrong"))
+    return out.select("file", "members", "found", (F.col("wrong") * 20 < F.col("members")).alias("few_false"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 9 = 0 AND c_custkey <> 0")
+def codec_round_trip(spark, d):
+    """Of codecs that give back what they took no row shows; of one that does not, the rows that it changes."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    lossy = codecs.Codec("lossy", 1, codecs.LONG.encode, lambda raw: F.when(keys.long_from_key(raw) % 9 == 0, 0).otherwise(keys.long_from_key(raw)))
+    fine = codecs.round_trip_failures(c, "c_custkey", codecs.LONG).union(codecs.round_trip_failures(c, "c_name", codecs.STRING))
+    return codecs.round_trip_failures(c, "c_custkey", lossy).union(fine).select("c_custkey")
+
+
+@query(f"""WITH {LOG}, f AS (SELECT k // 2 AS file FROM log GROUP BY 1)
+SELECT file, CASE file % 7 WHEN 0 THEN 'ENTRIES' WHEN 1 THEN 'BYTES' WHEN 2 THEN 'SEQUENCES' WHEN 3 THEN 'KEYS' WHEN 4 THEN 'ORDER' WHEN 5 THEN 'UNREFERENCED' ELSE 'MISSING' END AS problem FROM f""")
+def insp_verify_tables(spark, d):
+    from pyspark.sql import Window
+
+    e = log_of(spark, d).selectExpr("k div 2 AS file", "k", "seq", "octet_length(string(k)) AS size")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("k", F.desc("seq")))
+    e = e.withColumn("position", F.when(F.col("file") % 7 == 4, -place).otherwise(place))
+    m = e.groupBy("file").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    off = {"entries": 0, "bytes": 1, "largest_seq": 2, "hi": 3}
+    m = m.withColumns({c: F.col(c) + (F.col("file") % 7 == n).cast("int") for c, n in off.items()})
+    return inspect.verify_tables(e.filter("file % 7 <> 6"), m.filter("file % 7 <> 5"))
+
+
+@query(f"""WITH {RLOG}, b AS (SELECT log_id, min(CASE WHEN length(text) % 5 = 0 THEN idx END) AS first_bad FROM rl GROUP BY 1),
+n AS (SELECT rl.log_id, b.first_bad, count(*) AS entries, count(*) FILTER (WHERE b.first_bad IS NULL OR rl.idx < b.first_bad) AS kept FROM rl JOIN b ON b.log_id = rl.log_id GROUP BY 1, 2)
+SELECT log_id, entries, kept, entries - kept AS removed, first_bad, CASE WHEN entries > kept THEN 'TRUNCATE' ELSE 'NONE' END AS action FROM n""")
+def insp_repair_plan(spark, d):
+    return inspect.repair_plan(rlog_of(spark, d).withColumn("valid", F.length("text") % 5 != 0), "idx", "log_id")
+
+
+@query(f"""WITH {FILES} SELECT '{{"level":' || level || ',"files":' || count(*) || ',"bytes":' || sum(file_size)::BIGINT || ',"oldest_file":' || min(file_number) || ',"newest_file":' || max(file_number) || '}}' AS report FROM mf GROUP BY level""")
+def insp_report_json(spark, d):
+    return inspect.report_json(inspect.level_report(files_of(spark, d)))
+
+
+@query("""SELECT page_id, url AS display, octet_length(encode(html)) AS value_bytes FROM pages WHERE NOT starts_with(url, 'https://m.')""")
+def disp_workbench_rows(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("k"), F.col("html").alias("v"))
+    return inspect.workbench_rows(rows, b"https://m.").select("page_id", "display", "value_bytes")
+
+
+@query(f"""WITH {LOG}, ops AS (SELECT 'orders' AS collection, o_orderkey // 50 AS batch_id, o_orderkey * 2 AS ordinal, o_orderstatus AS v FROM orders
+UNION ALL SELECT 'customer', c_custkey // 50, c_custkey * 2 + 1, c_name FROM customer) SELECT collection, batch_id, ordinal, v, row_number() OVER (ORDER BY batch_id, ordinal) AS seq FROM ops""")
+def kv_cross_collection_batch(spark, d):
+    parts = {
+        "orders": table(spark, d, "orders").selectExpr("o_orderkey div 50 AS batch_id", "o_orderkey * 2 AS ordinal", "o_orderstatus AS v"),
+        "customer": table(spark, d, "customer").selectExpr("c_custkey div 50 AS batch_id", "c_custkey * 2 + 1 AS ordinal", "c_name AS v"),
+    }
+    return write.assign_sequences(write.union_collections(parts), 0)
+
+
+@query("SELECT mktsegment AS name, 15 + 25 + row_number() OVER (ORDER BY mktsegment) AS field_id FROM (SELECT DISTINCT c_mktsegment AS mktsegment FROM customer) s")
+def sch_next_field_ids(spark, d):
+    used = table(spark, d, "nation").selectExpr("15 + n_nationkey AS field_id")
+    names = table(spark, d, "customer").selectExpr("c_mktsegment AS name").distinct()
+    return schema.next_field_ids(used, used.selectExpr("field_id + 1 AS field_id"), names)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def rel_seed_if_empty(spark, d):
+    r = table(spark, d, "region").select("r_regionkey", "r_name")
+    return relations.seed_if_empty(r.filter("r_regionkey < 0"), r)
+
+
+@query(f"WITH {LOG} SELECT (seq - 1) // 100 AS idx, (seq - 1) % 100 AS ordinal, op, k, v FROM log")
+def rlog_command_ops(spark, d):
+    ops = _batches(spark, d).select(F.col("batch_id").alias("idx"), "ordinal", "op", "k", "v")
+    return replog.command_ops(replog.command_body(ops))
+
+
+@query(f"WITH RECURSIVE {FILES}, c AS (SELECT 1::BIGINT AS lo, 2::BIGINT AS hi, 0 AS i UNION ALL SELECT least(c.lo, (SELECT min(lo) FROM mf WHERE level IN (1, 2) AND mf.lo <= c.hi AND mf.hi >= c.lo)), greatest(c.hi, (SELECT max(hi) FROM mf WHERE level IN (1, 2) AND mf.lo <= c.hi AND mf.hi >= c.lo)), c.i + 1 FROM c WHERE i < 400) SELECT min(lo) AS lo, max(hi) AS hi FROM c")
+def lvl_closure(spark, d):
+    return spark.createDataFrame([compact.closure(files_of(spark, d), 1, 1, 2)], "lo long, hi long")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from palimpsest.operators.resolve import VALUE
+from palimpsest.operators.resolve import VALUE, newest
 
 
 def read_commits(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -28,5 +28,19 @@ def changes(stream: DataFrame, time: str, late: str = "10 minutes", width: str =
 
 
 def publish(view: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """The view kept up to date in memory under a name, for queries and tests."""
+    """The view kept up to date in the driver's memory under a name: for tests and small views only; ``publish_files`` has no such limit."""
     return view.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish_files(view: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """What each batch changes in the view, as Parquet of its own folder; a batch that runs again replaces its folder."""
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/epoch={number}")
+
+    return view.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The view that ``publish_files`` keeps: the newest row of each key over all batches."""
+    return newest(spark.read.parquet(path).drop("epoch"))
