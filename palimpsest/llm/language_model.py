@@ -1,11 +1,12 @@
 """Language-model scoring by deleted interpolation.
 
-A token's probability is a mixture of the bigram's and the smoothed unigram's maximum-likelihood estimates.  The weight depends on the
-bucket of the context's frequency; the unigram is itself a mixture with the uniform distribution.  All weights are
-learned by expectation-maximisation on deleted counts: each training token is held out of the counts that predict it.
+A token's probability mixes the maximum-likelihood estimates of trigram, bigram and unigram, level by level: the trigram's with the mixed
+bigram's, that with the mixed unigram's, and that with the uniform distribution.  A weight depends on the bucket of its context's frequency.
+All weights are learned by expectation-maximisation on deleted counts, the lower level first: each training token is held out
+of the counts that predict it.  A document's first token has the end as its context and no trigram.
 
 Counts never leave the executors.  Documents are packed once into groups of a few MB.  A group asks for the counts of
-its distinct tokens, then of those bigrams that other groups may have too, in sorted order, and the answers
+its distinct tokens, then of those bigrams that other groups may have too, then of such trigrams, in sorted order, and the answers
 come back as bare arrays in that order; so a shuffle moves 6 bytes and some bits for each distinct item of a group.
 """
 
@@ -26,8 +27,9 @@ from palimpsest.llm.shared import checkpoint
 #: ``SQUARE_BYTES`` of text groups grow with its square root, which keeps the rows in proportion, up to what a task's memory holds.
 GROUP_BYTES, LARGEST_GROUP, SQUARE_BYTES = 16 << 20, 128 << 20, 64 << 30
 BUCKETS = 64  # of a context's frequency, by powers of two
-#: Bins of the logarithm of (context count - 1) * unigram probability: with the bucket 16 bits, and wide enough for any 64-bit count.
-_BINS, _STEP, _LEAST = 1024, 0.1, -50
+#: Bins of the logarithm of (context count - 1) / 2 ** bucket * probability of the level below, which is 2 at most: with the bucket
+#: 18 bits, and wide enough for any 64-bit count.  ``_HALF`` bins lie on each side of equal estimates.
+_BINS, _STEP, _LEAST, _HALF = 4096, 0.0125, -50.0, 4000
 #: Bits that are kept of a count in the table of how many words have each count; smaller ones are exact.
 COUNT_BITS = 12
 _END, _START = np.uint64(0x5DEECE66D1234567), np.uint64(0x1B873593CC9E2D51)
@@ -80,6 +82,12 @@ def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column, limi
     return source.mapInArrow(run, "gid bigint, size bigint, blob binary")
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct hashes, where each stands first, and each hash's place among them."""
+    distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    return distinct, first, back.astype(np.int32)
+
+
 class Group:
     """Tokens of a group's documents: hashes, and for each token its text, its context and whether it is trained on."""
 
@@ -96,9 +104,10 @@ class Group:
                 docs.append(np.insert(doc, last, np.arange(batch.num_rows)) + at)
                 held.append(batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False))
                 at += batch.num_rows
-        tokens, self.doc, self.held = np.concatenate(hashes), np.concatenate(docs), np.concatenate(held)
+        self.doc, self.held = np.concatenate(docs).astype(np.int32), np.concatenate(held)
         self.n = at
-        self.words, self.word = np.unique(tokens, return_inverse=True)
+        del docs
+        self.words, _, self.word = _distinct(np.concatenate(hashes))
         self.trained = ~self.held[self.doc]
         self.own = np.bincount(self.word[self.trained], minlength=len(self.words))
 
@@ -106,18 +115,31 @@ class Group:
         """Distinct (context, token) pairs in the order of their hashes; the context of a first token is the end."""
         context = np.empty_like(self.word)
         context[1:] = self.word[:-1]
-        context[0] = end = int(np.searchsorted(self.words, _END))
+        context[0] = int(np.searchsorted(self.words, _END))
         with np.errstate(over="ignore"):
             mixed = K.mix(self.words[context] * _START + self.words[self.word], 31)
-        self.pairs, first, self.pair = np.unique(mixed, return_index=True, return_inverse=True)
+        self.pairs, first, self.pair = _distinct(mixed)
         self.left, self.right = context[first], self.word[first]
         self.pair_own = np.bincount(self.pair[self.trained], minlength=len(self.pairs))
-        self.end = end
 
     def open_pairs(self, count: np.ndarray) -> np.ndarray:
         """Which pairs other groups may have: both words occur in training elsewhere."""
         return (count[self.left] > self.own[self.left]) & (count[self.right] > self.own[self.right])
 
+    def trigrams(self) -> None:
+        """Distinct (context pair, token) triples in the order of their hashes, of the tokens after a document's first (``later``)."""
+        self.later = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        with np.errstate(over="ignore"):
+            mixed = K.mix(self.pairs[self.pair[self.later - 1]] * _START + self.words[self.word[self.later]], 37)
+        self.triples, first, self.triple = _distinct(mixed)
+        first = self.later[first]
+        self.before, self.after = self.pair[first - 1], self.pair[first]
+        self.triple_own = np.bincount(self.triple[self.trained[self.later]], minlength=len(self.triples))
+
+    def open_triples(self, count: np.ndarray) -> np.ndarray:
+        """Which triples other groups may have: both of their pairs occur in training elsewhere."""
+        return (count[self.before] > self.pair_own[self.before]) & (count[self.after] > self.pair_own[self.after])
+
 
 def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
     """(reducer, begin, end) of the runs of sorted keys that share their first bits."""
@@ -132,7 +154,7 @@ _TELL = "gid bigint, kind int, r int, n int, counts binary"
 
 def _asks(gid: int, keys: np.ndarray, own: np.ndarray, mark: np.ndarray, bits: int) -> list[tuple]:
     low = keys << np.uint64(bits) >> np.uint64(16)  # 48 bits below those that name the reducer
-    return [(r, gid, b - a, _squeezed(low[a:b], 6), _squeezed(own[a:b].astype(np.uint32), 4), _squeezed(mark[a:b], 2)) for r, a, b in _cut(keys, bits)]
+    return [(r, gid, b - a, _squeezed(low[a:b], 6), _squeezed(own[a:b].astype(np.uint32), 4), _squeezed(mark[a:b], 3)) for r, a, b in _cut(keys, bits)]
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -200,34 +222,42 @@ def mixture_weight(ratio: np.ndarray, weight: np.ndarray, rounds: int = 60) -> f
 
 
 def _histogram(count: np.ndarray, mark: np.ndarray) -> list[tuple[int, int, int]]:
-    """(bucket, bin of the logarithm of bigram against unigram, training tokens); bin -1: the deleted count is 0.
+    """(bucket, bin of the logarithm of a level's estimate against the level below, training tokens); bin -1: the deleted count is 0.
 
-    ``mark`` holds ``_BINS`` * bucket + bin of the unigram side.
+    ``mark`` holds ``_BINS`` * bucket + bin of the lower side.
     """
     use = count > 0
     count, mark = count[use], mark[use].astype(np.int64)
-    side = (mark % _BINS) * _STEP + _LEAST
-    place = np.where(count > 1, np.clip(np.round((np.log(np.maximum(count - 1, 1)) - side) / _STEP), -1000, 1000) + 1000, 2001).astype(np.int64)
-    cell, back = np.unique(mark // _BINS * 4096 + place, return_inverse=True)
+    side = (mark % _BINS) * _STEP + _LEAST + mark // _BINS * np.log(2)
+    place = np.where(count > 1, np.clip(np.round((np.log(np.maximum(count - 1, 1)) - side) / _STEP), -_HALF, _HALF) + _HALF, 2 * _HALF + 1).astype(np.int64)
+    cell, back = np.unique((mark // _BINS << 14) + place, return_inverse=True)
     sums = np.bincount(back, weights=count)
-    return [(int(c) >> 12, (int(c) & 4095) if (int(c) & 4095) <= 2000 else -1, int(n)) for c, n in zip(cell, sums)]
+    place = np.where(cell & 16383 <= 2 * _HALF, cell & 16383, -1)
+    return [(int(c) >> 14, int(p), int(n)) for c, p, n in zip(cell, place, sums)]
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64), BUCKETS - 1)
 
 
-def _marks(group: Group, count: np.ndarray, unigram: Unigram) -> np.ndarray:
-    context = count[group.left]
-    side = np.log(np.maximum(context - 1, 1)) + np.log(unigram.probability(count[group.right], 1))
-    return (_bucket(context) * _BINS + np.clip(np.round((side - _LEAST) / _STEP), 0, _BINS - 1).astype(np.int64)).astype(np.uint16)
+def _mixed(count: np.ndarray, context: np.ndarray, below: np.ndarray, weights: np.ndarray, deleted: int = 0) -> np.ndarray:
+    """Maximum-likelihood estimates mixed with the probabilities of the level below; a context that is not in training has no weight."""
+    share = np.where(context > 0, weights[_bucket(context)], 0.0)
+    return share * np.maximum(count - deleted, 0) / np.maximum(context - deleted, 1) + (1 - share) * below
+
+
+def _marks(context: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Bucket and lower side of items from their contexts' counts and the deleted probabilities of the level below."""
+    bucket = _bucket(context)
+    side = np.log(np.maximum(context - 1, 1)) - bucket * np.log(2) + np.log(below)
+    return (bucket * _BINS + np.clip(np.round((side - _LEAST) / _STEP), 0, _BINS - 1).astype(np.int64)).astype(np.uint32)
 
 
 def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> DataFrame:
     """The ``keep`` columns of every row of ``docs`` (text), held_out, and n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``held_out`` does not hold.  Null texts are empty: the end is their one token.  With nothing to learn from, all
-    counts are 0 and the score is that of the uniform distribution.  Repeated rows count each.  Tokens and bigrams are told
+    counts are 0 and the score is that of the uniform distribution.  Repeated rows count each.  Tokens, bigrams and trigrams are told
     apart by 51 and more bits of a hash.
     """
     limit = group_bytes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
@@ -242,7 +272,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
         for batch in batches:
             for gid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 g = Group(blob)
-                yield _batch(_asks(gid, g.words, g.own, np.zeros(len(g.words), np.uint16), bits), _ASK)
+                yield _batch(_asks(gid, g.words, g.own, np.zeros(len(g.words), np.uint32), bits), _ASK)
 
     def tell_words(table: pa.Table) -> pa.Table:
         rows, total, _, back = _merge(table)
@@ -259,31 +289,37 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
     ratio = (count - 1) / max(tokens - 1, 1) * (types + 1)
     unigram = Unigram(tokens, types, mixture_weight(ratio, count * of))
 
+    def totals(g: Group, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of a group's tokens and pairs, from its own and from what it was told."""
+        count = _told(told, 0)
+        g.bigrams()
+        pair = g.pair_own.copy()
+        pair[g.open_pairs(count)] = _told(told, 1)
+        return count, pair
+
+    def asked_and_own(gid: int, keys: np.ndarray, own: np.ndarray, mark: np.ndarray, ask: np.ndarray) -> list[tuple]:
+        """Requests for the counts that others may add to, and the histogram of the rest."""
+        cells = np.array(_histogram(own[~ask], mark[~ask]), np.int64).reshape(-1, 3)
+        return [*_asks(gid, keys[ask], own[ask], mark[ask], bits), (-1, gid, len(cells), cells.tobytes(), b"", b"")]
+
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for x in left.to_pylist():
             g, count = Group(x["blob"]), _told(right, 0)
             g.bigrams()
-            mark, ask = _marks(g, count, unigram), g.open_pairs(count)
-            rows += _asks(x["gid"], g.pairs[ask], g.pair_own[ask], mark[ask], bits)
-            cells = np.array(_histogram(g.pair_own[~ask], mark[~ask]), np.int64).reshape(-1, 3)
-            rows.append((-1, x["gid"], len(cells), cells.tobytes(), b"", b""))
+            mark = _marks(count[g.left], unigram.probability(count[g.right], 1))
+            rows += asked_and_own(x["gid"], g.pairs, g.pair_own, mark, g.open_pairs(count))
+        K.give_back()
         return pa.Table.from_batches([_batch(rows, _ASK)])
 
-    def tell_pairs(table: pa.Table) -> pa.Table:
+    def tell(kind: int, table: pa.Table) -> pa.Table:
         own = [x for x in table.select(["r", "n", "keys"]).to_pylist() if x["r"] < 0]
         if own:
-            return pa.Table.from_batches([_batch([(-1, 1, -1, x["n"], x["keys"]) for x in own], _TELL)])
+            return pa.Table.from_batches([_batch([(-1, kind, -1, x["n"], x["keys"]) for x in own], _TELL)])
         rows, total, first, back = _merge(table)
-        mark = np.concatenate([_expanded(m, n, 2, np.uint16) for m, n in zip(table.column("mark").to_pylist(), table.column("n").to_pylist())])
+        mark = np.concatenate([_expanded(m, n, 3, np.uint32) for m, n in zip(table.column("mark").to_pylist(), table.column("n").to_pylist())])
         cells = np.array(_histogram(total, mark[first]), np.int64).reshape(-1, 3)
-        return pa.Table.from_batches([_batch([*_answers(rows, 1, total, back), (-1, 1, -1, len(cells), cells.tobytes())], _TELL)])
-
-    told = words.filter("gid >= 0")
-    asked = groups.select("gid", "blob").groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(ask_pairs, _ASK)
-    # a group's own cells are dealt by its number, not all to one reducer
-    asked = asked.withColumn("deal", F.when(F.col("r") < 0, -1 - F.col("gid")).otherwise(F.col("r").cast("bigint")))
-    pairs = checkpoint(asked.groupBy("deal").applyInArrow(lambda t: tell_pairs(t.drop_columns(["deal"])), _TELL))
+        return pa.Table.from_batches([_batch([*_answers(rows, kind, total, back), (-1, kind, -1, len(cells), cells.tobytes())], _TELL)])
 
     def sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,31 +327,55 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
                 cells = np.frombuffer(raw, np.int64).reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(cells[:, k]) for k in range(3)], ["bucket", "bin", "n"])
 
-    cells = pairs.filter("gid < 0").select("counts").mapInArrow(sum_cells, "bucket bigint, bin bigint, n bigint")
-    cells = cells.groupBy("bucket", "bin").agg(F.sum("n").alias("n")).collect()  # at most 64 * 2002
-    weights = np.zeros(BUCKETS)
-    for b in range(BUCKETS):
-        own = [r for r in cells if r.bucket == b]
-        ratio = np.array([np.exp((r.bin - 1000) * _STEP) if r.bin >= 0 else 0.0 for r in own])
-        weights[b] = mixture_weight(ratio, np.array([float(r.n) for r in own]))
+    def level(kind: int, ask, told: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """What the groups are told at a level, and the level's weights by bucket."""
+        asked = groups.select("gid", "blob").groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(ask, _ASK)
+        # a group's own cells are dealt by its number, not all to one reducer
+        asked = asked.withColumn("deal", F.when(F.col("r") < 0, -1 - F.col("gid")).otherwise(F.col("r").cast("bigint")))
+        made = checkpoint(asked.groupBy("deal").applyInArrow(lambda t: tell(kind, t.drop_columns(["deal"])), _TELL))
+        cells = made.filter("gid < 0").select("counts").mapInArrow(sum_cells, "bucket bigint, bin bigint, n bigint")
+        weights, own = np.zeros(BUCKETS), {}
+        for r in cells.groupBy("bucket", "bin").agg(F.sum("n").alias("n")).collect():  # at most 64 * 8002
+            own.setdefault(r.bucket, []).append((np.exp((r.bin - _HALF) * _STEP) if r.bin >= 0 else 0.0, float(r.n)))
+        for b, pairs in own.items():
+            weights[b] = mixture_weight(*np.array(sorted(pairs)).T)
+        return made.filter("gid >= 0"), weights
+
+    told = words.filter("gid >= 0")
+    pairs, weights = level(1, ask_pairs, told)
+
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for x in left.to_pylist():
+            g = Group(x["blob"])
+            count, pair = totals(g, right)
+            below = _mixed(pair, count[g.left], unigram.probability(count[g.right], 1), weights, 1)
+            g.trigrams()
+            rows += asked_and_own(x["gid"], g.triples, g.triple_own, _marks(pair[g.before], below[g.after]), g.open_triples(pair))
+        K.give_back()
+        return pa.Table.from_batches([_batch(rows, _ASK)])
+
+    told = told.unionByName(pairs)
+    triples, upper = level(2, ask_triples, told)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for x in left.to_pylist():
-            g, count = Group(x["blob"]), _told(right, 0)
-            g.bigrams()
-            pair = g.pair_own.copy()
-            pair[g.open_pairs(count)] = _told(right, 1)
-            context = count[g.left]
-            share = np.where(context > 0, weights[_bucket(context)], 0.0)
-            p = share * pair / np.maximum(context, 1) + (1 - share) * unigram.probability(count[g.right])
+            g = Group(x["blob"])
+            count, pair = totals(g, right)
+            g.trigrams()
+            triple = g.triple_own.copy()
+            triple[g.open_triples(pair)] = _told(right, 2)
+            p = _mixed(pair, count[g.left], unigram.probability(count[g.right]), weights)
+            log_p = np.log10(p)[g.pair]
+            log_p[g.later] = np.log10(_mixed(triple, pair[g.before], p[g.after], upper))[g.triple]
             base = np.log10((count + 0.5) / (unigram.tokens + 0.5 * (unigram.types + 1)))
             by = lambda v: np.bincount(g.doc, weights=v, minlength=g.n)
-            sums = [np.bincount(g.doc, minlength=g.n), by(count[g.word] > 0).astype(np.int64), np.full(g.n, unigram.tokens), by(base[g.word]), by(np.log10(p)[g.pair])]
+            sums = [np.bincount(g.doc, minlength=g.n), by(count[g.word] > 0).astype(np.int64), np.full(g.n, unigram.tokens), by(base[g.word]), by(log_p)]
             table = pa.Table.from_batches(g.batches)
             kept = [table.column(k) for k in range(table.num_columns - 2)]
             made.append(pa.Table.from_arrays([*kept, pa.array(g.held), *[pa.array(s) for s in sums]], names=out_schema.names))
+        K.give_back()
         return pa.concat_tables(made)
 
-    both = told.unionByName(pairs.filter("gid >= 0"))
-    return groups.select("gid", "blob").groupBy("gid").cogroup(both.groupBy("gid")).applyInArrow(finish, out_schema)
+    return groups.select("gid", "blob").groupBy("gid").cogroup(told.unionByName(triples).groupBy("gid")).applyInArrow(finish, out_schema)

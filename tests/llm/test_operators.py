@@ -316,6 +316,7 @@ def test_language_model_score_against_plain_counts(spark):
     tokens = {k: [None, *re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for k, t in docs.items()}  # the end stands before a first word, too
     train = [ws for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1]
     c, pairs = Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in zip(ws, ws[1:]))
+    triples = Counter(t for ws in train for t in zip(ws, ws[1:], ws[2:]))
     n, v = sum(c.values()), len(c)
     count = np.array(list(c.values()), float)
     w = language_model.mixture_weight((count - 1) / (n - 1) * (v + 1), count)
@@ -325,12 +326,19 @@ def test_language_model_score_against_plain_counts(spark):
         by.setdefault(int(math.log2(c[a])), []).append(((k - 1) / max(c[a] - 1, 1) / uni(b, 1), k))
     share = {g: language_model.mixture_weight(np.array([r for r, _ in x]), np.array([float(k) for _, k in x])) for g, x in by.items()}
     assert len(share) > 5 and max(share.values()) > 0.2
+    low_share = lambda a: share.get(int(math.log2(c[a])), 0.0) if c[a] else 0.0
+    bi = lambda a, b, gone=0: low_share(a) * max(pairs[a, b] - gone, 0) / max(c[a] - gone, 1) + (1 - low_share(a)) * uni(b, gone)
+    by = {}
+    for (a, b, d), k in triples.items():
+        by.setdefault(int(math.log2(pairs[a, b])), []).append(((k - 1) / max(pairs[a, b] - 1, 1) / bi(b, d, 1), k))
+    upper = {g: language_model.mixture_weight(np.array([r for r, _ in x]), np.array([float(k) for _, k in x])) for g, x in by.items()}
+    assert len(upper) > 5 and max(upper.values()) > 0.2
     got = {r.doc_id: r.score for r in queries.op6_lm_scoring(spark, SF_DIR).collect()}
     for doc, ws in tokens.items():
-        want = 0.0
-        for a, b in zip(ws, ws[1:]):
-            s = share.get(int(math.log2(c[a])), 0.0) if c[a] else 0.0
-            want += math.log10(s * pairs[a, b] / max(c[a], 1) + (1 - s) * uni(b))
+        want = math.log10(bi(*ws[:2]))  # a first token has no trigram
+        for a, b, d in zip(ws, ws[1:], ws[2:]):
+            s = upper.get(int(math.log2(pairs[a, b])), 0.0) if pairs[a, b] else 0.0
+            want += math.log10(s * triples[a, b, d] / max(pairs[a, b], 1) + (1 - s) * bi(b, d))
         assert got[doc] == pytest.approx(want, rel=2e-3)
 
 
