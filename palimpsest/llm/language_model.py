@@ -83,9 +83,14 @@ def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column, limi
 
 
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The sorted distinct hashes, where each stands first, and each hash's place among them."""
-    distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    return distinct, first, back.astype(np.int32)
+    """The sorted distinct hashes, a place where each stands, and each hash's place among them; the sort need not be stable."""
+    order = np.argsort(hashes)
+    in_order = hashes[order]
+    new = np.ones(len(order), bool)
+    np.not_equal(in_order[1:], in_order[:-1], out=new[1:])
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return in_order[new], order[new], back
 
 
 class Group:
@@ -168,7 +173,7 @@ def _merge(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndar
     rows = table.select(["r", "gid", "n", "keys", "own"]).to_pylist()
     keys = np.concatenate([_expanded(x["keys"], x["n"], 6, np.uint64) for x in rows])
     own = np.concatenate([_expanded(x["own"], x["n"], 4, np.uint32) for x in rows]).astype(np.int64)
-    distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    distinct, first, back = _distinct(keys)
     total = np.bincount(back, weights=own, minlength=len(distinct)).astype(np.int64)
     return rows, total, first, back
 
@@ -230,10 +235,10 @@ def _histogram(count: np.ndarray, mark: np.ndarray) -> list[tuple[int, int, int]
     count, mark = count[use], mark[use].astype(np.int64)
     side = (mark % _BINS) * _STEP + _LEAST + mark // _BINS * np.log(2)
     place = np.where(count > 1, np.clip(np.round((np.log(np.maximum(count - 1, 1)) - side) / _STEP), -_HALF, _HALF) + _HALF, 2 * _HALF + 1).astype(np.int64)
-    cell, back = np.unique((mark // _BINS << 14) + place, return_inverse=True)
-    sums = np.bincount(back, weights=count)
+    sums = np.bincount((mark // _BINS << 14) + place, weights=count)  # BUCKETS << 14 numbers at most
+    cell = np.flatnonzero(sums)
     place = np.where(cell & 16383 <= 2 * _HALF, cell & 16383, -1)
-    return [(int(c) >> 14, int(p), int(n)) for c, p, n in zip(cell, place, sums)]
+    return [(int(c) >> 14, int(p), int(n)) for c, p, n in zip(cell, place, sums[cell])]
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
