@@ -5,7 +5,7 @@ bigram's, that with the mixed unigram's, and that with the uniform distribution.
 All weights are learned by expectation-maximisation on deleted counts, the lower level first: each training token is held out
 of the counts that predict it.  A document's first token has the end as its context and no trigram.
 
-Counts never leave the executors.  Documents are packed once into groups of a few MB.  A group asks for the counts of
+Counts never leave the executors.  Documents are packed once into groups of a few MB, as tokens.  A group asks for the counts of
 its distinct tokens, then of those bigrams that other groups may have too, then of such trigrams, in sorted order, and the answers
 come back as bare arrays in that order; so a shuffle moves 6 bytes and some bits for each distinct item of a group.
 """
@@ -54,34 +54,6 @@ def group_bytes(size: int) -> int:
     return min(LARGEST_GROUP, int(GROUP_BYTES * max(1.0, (size / SQUARE_BYTES) ** 0.5)))
 
 
-def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column, limit: int = GROUP_BYTES) -> DataFrame:
-    """(gid, size, blob): the texts in groups, each with its ``keep`` columns and ``__held``."""
-    source = docs.select(*[c.alias(k) for k, c in keep.items()], held_out.alias("__held"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, made, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def group() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for b in held:
-                    out.write_batch(b)
-            return pa.RecordBatch.from_arrays([pa.array([base + made]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], ["gid", "size", "blob"])
-
-        for batch in K.slices(batches):
-            held.append(batch)
-            size += int(K.buffers(batch.column(batch.num_columns - 1))[1][-1])
-            if size >= limit:
-                yield group()
-                made, held, size = made + 1, [], 0
-        if held:
-            yield group()
-
-    return source.mapInArrow(run, "gid bigint, size bigint, blob binary")
-
-
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sorted distinct hashes, a place where each stands, and each hash's place among them; the sort need not be stable."""
     order = np.argsort(hashes)
@@ -96,23 +68,13 @@ def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Group:
     """Tokens of a group's documents: hashes, and for each token its text, its context and whether it is trained on."""
 
-    def __init__(self, blob: bytes) -> None:
-        self.batches = list(pa.ipc.open_stream(blob))
-        hashes, docs, held, at = [], [], [], 0
-        for whole in self.batches:
-            for batch in K.slices(iter([whole])):
-                data, offsets = K.buffers(batch.column(batch.num_columns - 1))
-                data = K.lower_ascii(data)
-                starts, ends, doc = K.words(data, offsets)
-                last = np.searchsorted(doc, np.arange(batch.num_rows), "right")
-                hashes.append(np.insert(K.span_hashes(data, starts, ends), last, _END))
-                docs.append(np.insert(doc, last, np.arange(batch.num_rows)) + at)
-                held.append(batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False))
-                at += batch.num_rows
-        self.doc, self.held = np.concatenate(docs).astype(np.int32), np.concatenate(held)
-        self.n = at
-        del docs
-        self.words, _, self.word = _distinct(np.concatenate(hashes))
+    def __init__(self, packed: dict) -> None:
+        self.head = pa.ipc.open_stream(packed["head"]).read_all()
+        per, self.held = self.head.column("__tokens").to_numpy(), self.head.column("__held").to_numpy()
+        self.n = len(per)
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), per)
+        self.words = _expanded(packed["words"], packed["n_words"], 8, np.uint64)
+        self.word = _expanded(packed["codes"], len(self.doc), 4, np.int32)
         self.trained = ~self.held[self.doc]
         self.own = np.bincount(self.word[self.trained], minlength=len(self.words))
 
@@ -169,6 +131,45 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
 
 
+_PACKED = "gid bigint, size bigint, n_words int, head binary, words binary, codes binary"
+
+
+def pack_groups(docs: DataFrame, keep: dict[str, Column], held_out: Column, limit: int = GROUP_BYTES) -> DataFrame:
+    """The texts in groups, as tokens: distinct hashes in order and each token's place among them; ``head`` holds the ``keep`` columns
+    and ``__held`` and ``__tokens``, how many tokens a text has.  ``size`` is in bytes of text."""
+    source = docs.select(*[c.alias(k) for k, c in keep.items()], held_out.alias("__held"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, made, heads, hashes, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+
+        def group() -> pa.RecordBatch:
+            words, _, codes = _distinct(np.concatenate(hashes))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, heads[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for head in heads:
+                    out.write_batch(head)
+            return _batch([(base + made, size, len(words), sink.getvalue().to_pybytes(), _squeezed(words, 8), _squeezed(codes, 4))], _PACKED)
+
+        for batch in K.slices(batches):
+            data, offsets = K.buffers(batch.column(batch.num_columns - 1))
+            data = K.lower_ascii(data)
+            starts, ends, doc = K.words(data, offsets)
+            per = np.bincount(doc, minlength=batch.num_rows)
+            hashes.append(np.insert(K.span_hashes(data, starts, ends), np.cumsum(per), _END))
+            heads.append(batch.drop_columns(["text"]).append_column("__tokens", pa.array(per + 1)))
+            size += int(offsets[-1])
+            if size >= limit:
+                yield group()
+                made, heads, hashes, size = made + 1, [], [], 0
+                K.give_back()
+        if heads:
+            yield group()
+
+    return source.mapInArrow(run, _PACKED)
+
+
 def _merge(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
     rows = table.select(["r", "gid", "n", "keys", "own"]).to_pylist()
     keys = np.concatenate([_expanded(x["keys"], x["n"], 6, np.uint64) for x in rows])
@@ -275,16 +276,16 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = Group(blob)
-                yield _batch(_asks(gid, g.words, g.own, np.zeros(len(g.words), np.uint32), bits), _ASK)
+            for x in batch.to_pylist():
+                g = Group(x)
+                yield _batch(_asks(x["gid"], g.words, g.own, np.zeros(len(g.words), np.uint32), bits), _ASK)
 
     def tell_words(table: pa.Table) -> pa.Table:
         rows, total, _, back = _merge(table)
         facts = [(-1, 0, n, 0, f"{c}:{own}".encode()) for c, n, own in _count_table(total)]  # how many words have each count
         return pa.Table.from_batches([_batch(_answers(rows, 0, total, back) + facts, _TELL)])
 
-    words = checkpoint(groups.select("gid", "blob").mapInArrow(ask_words, _ASK).groupBy("r").applyInArrow(tell_words, _TELL))
+    words = checkpoint(groups.drop("size").mapInArrow(ask_words, _ASK).groupBy("r").applyInArrow(tell_words, _TELL))
     facts = words.filter("gid < 0").select(F.split(F.col("counts").cast("string"), ":").cast("array<bigint>").alias("c"), "r")
     facts = facts.groupBy(F.col("c")[0].alias("c")).agg(F.sum("r").alias("n"), F.sum(F.col("c")[1]).alias("own"))
     facts = facts.collect()  # at most 2 ** 12 exact counts and 2 ** 11 for each power of two above: 110,000 at any size
@@ -310,7 +311,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
     def ask_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for x in left.to_pylist():
-            g, count = Group(x["blob"]), _told(right, 0)
+            g, count = Group(x), _told(right, 0)
             g.bigrams()
             mark = _marks(count[g.left], unigram.probability(count[g.right], 1))
             rows += asked_and_own(x["gid"], g.pairs, g.pair_own, mark, g.open_pairs(count))
@@ -334,7 +335,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
 
     def level(kind: int, ask, told: DataFrame) -> tuple[DataFrame, np.ndarray]:
         """What the groups are told at a level, and the level's weights by bucket."""
-        asked = groups.select("gid", "blob").groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(ask, _ASK)
+        asked = groups.drop("size").groupBy("gid").cogroup(told.groupBy("gid")).applyInArrow(ask, _ASK)
         # a group's own cells are dealt by its number, not all to one reducer
         asked = asked.withColumn("deal", F.when(F.col("r") < 0, -1 - F.col("gid")).otherwise(F.col("r").cast("bigint")))
         made = checkpoint(asked.groupBy("deal").applyInArrow(lambda t: tell(kind, t.drop_columns(["deal"])), _TELL))
@@ -352,7 +353,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
     def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for x in left.to_pylist():
-            g = Group(x["blob"])
+            g = Group(x)
             count, pair = totals(g, right)
             below = _mixed(pair, count[g.left], unigram.probability(count[g.right], 1), weights, 1)
             g.trigrams()
@@ -366,7 +367,7 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         for x in left.to_pylist():
-            g = Group(x["blob"])
+            g = Group(x)
             count, pair = totals(g, right)
             g.trigrams()
             triple = g.triple_own.copy()
@@ -377,10 +378,9 @@ def score_texts(docs: DataFrame, held_out: Column, keep: dict[str, Column]) -> D
             base = np.log10((count + 0.5) / (unigram.tokens + 0.5 * (unigram.types + 1)))
             by = lambda v: np.bincount(g.doc, weights=v, minlength=g.n)
             sums = [np.bincount(g.doc, minlength=g.n), by(count[g.word] > 0).astype(np.int64), np.full(g.n, unigram.tokens), by(base[g.word]), by(log_p)]
-            table = pa.Table.from_batches(g.batches)
-            kept = [table.column(k) for k in range(table.num_columns - 2)]
+            kept = [g.head.column(k) for k in range(g.head.num_columns - 2)]
             made.append(pa.Table.from_arrays([*kept, pa.array(g.held), *[pa.array(s) for s in sums]], names=out_schema.names))
         K.give_back()
         return pa.concat_tables(made)
 
-    return groups.select("gid", "blob").groupBy("gid").cogroup(told.unionByName(triples).groupBy("gid")).applyInArrow(finish, out_schema)
+    return groups.drop("size").groupBy("gid").cogroup(told.unionByName(triples).groupBy("gid")).applyInArrow(finish, out_schema)
