@@ -107,7 +107,10 @@ def _node(ordered: np.ndarray) -> int:
 
 
 def _nodes(docs: DataFrame, size: int, bits: np.ndarray) -> Callable[[str, str], Column]:
-    """The number of the set of a text, as ``sketches`` gives it, where a bit filter lets the id pass; else null."""
+    """The number of the set of a text, as ``sketches`` gives it, where a bit filter lets the id pass; else null.
+
+    Spark is told that it is not deterministic: else a filter on it is pushed below and calls it once more, in a second worker of the same task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     @F.arrow_udf("bigint")
@@ -119,7 +122,8 @@ def _nodes(docs: DataFrame, size: int, bits: np.ndarray) -> Callable[[str, str],
         out[due.to_numpy(zero_copy_only=False)] = made
         return pa.array(out, mask=~due.to_numpy(zero_copy_only=False))
 
-    return lambda doc_id, text: nodes(F.coalesce(doc_id, F.lit(0)), F.col(text))
+    once = nodes.asNondeterministic()
+    return lambda doc_id, text: once(F.coalesce(doc_id, F.lit(0)), F.col(text))
 
 
 class _Cutter:

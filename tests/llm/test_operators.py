@@ -149,6 +149,13 @@ def test_near_keep_first_leaves_another_text_with_a_repeated_id(spark):
     assert left.columns == ["doc_id", "text", "tag"] and sorted(r.tag for r in left.collect()) == ["a", "c", "d", "f"]
 
 
+@pytest.mark.parametrize("helper", [jaccard_join.keep_first, exact_dedup.keep_first])
+def test_keep_first_runs_one_python_worker_a_task(spark, odd, helper):
+    """Python nodes that feed one another hold two workers in each task, and workers stay."""
+    plan = helper(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # one for each side of the union
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=9000), st.binary(max_size=9000), st.binary(max_size=300))
 def test_fingerprints_combine(x, y, z):
